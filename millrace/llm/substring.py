@@ -204,29 +204,31 @@ def _locate(window: int, phrase: int):
     return locate
 
 
-def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases: int = 20_000, task_words: int = 300_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases: int = 20_000, task_words: int = 300_000, most_broadcast: int = 64 << 20) -> DataFrame:
     """Spans of words to remove from documents (doc_id, text): doc_id, h (xxhash64 of the text), spans (array of a, b).
 
-    See remove_repeats. Tables of more than `most_broadcast` rows are joined by a shuffle, smaller ones by a broadcast.
+    See remove_repeats. Tables of more than `most_broadcast` bytes are joined by a shuffle, smaller ones by a broadcast.
     """
-    def sized(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= most_broadcast else df
+    def sized(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= most_broadcast else df
 
     small_batches(docs.sparkSession, 200)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     scanned = materialize(texts.mapInArrow(_scan(window, phrase), "doc_id long, h long, n_words long, same binary, phrases array<long>, places array<int>"))
     # Copies: of documents of the same words all but the first lose everything, and only the first goes on.
-    first = scanned.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
-    marked = scanned.join(first, "same", "left")
-    copies = marked.where((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)).select("doc_id", "h", F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b"))
-    alone = marked.where(F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))).select("doc_id", "h", F.explode(F.arrays_zip("phrases", "places")).alias("p")).select("doc_id", "h", F.col("p.phrases").alias("phrase"), F.col("p.places").alias("place"))
+    first = materialize(scanned.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first"))
+    repeated = scanned.select("doc_id", "h", "n_words", "same").join(sized(first, 32 * first.count()), "same").where("doc_id > first")
+    repeated = materialize(repeated.select("doc_id", "h", "n_words"))
+    copies = repeated.where(F.col("n_words") >= window).select("doc_id", "h", F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b"))
+    single = scanned.select("doc_id", "h", "phrases", "places").join(sized(repeated.select("doc_id", "h"), 16 * repeated.count()), ["doc_id", "h"], "left_anti")
+    alone = single.select("doc_id", "h", F.explode(F.arrays_zip("phrases", "places")).alias("p")).select("doc_id", "h", F.col("p.phrases").alias("phrase"), F.col("p.places").alias("place"))
     recurring = materialize(alone.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("phrase", "first"))
     n = recurring.count()
     shards = max(1, -(-n // shard_phrases))
-    marks = alone.join(sized(recurring, n), "phrase").select("doc_id", "h", F.struct(F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), "place").alias("mark"))
+    marks = alone.join(sized(recurring, 16 * n), "phrase").select("doc_id", "h", F.struct(F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), "place").alias("mark"))
     lists = materialize(marks.groupBy("doc_id", "h").agg(F.collect_list("mark").alias("marks")))
-    total = lists.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
-    regions = materialize(texts.join(sized(lists, total), ["doc_id", "h"]).select("doc_id", "h", "text", "marks").mapInArrow(_regions(window, phrase), "shard long, doc_id long, h long, start int, size int, words binary"))
+    total, rows_ = lists.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)), F.count("*")).first()
+    regions = materialize(texts.join(sized(lists, 16 * total + 24 * rows_), ["doc_id", "h"]).select("doc_id", "h", "text", "marks").mapInArrow(_regions(window, phrase), "shard long, doc_id long, h long, start int, size int, words binary"))
     rows = regions.select("shard", "doc_id", "start", "words").mapInArrow(_windows(window), "shard long, one long, two long, doc_id long, place int")
     confirmed = rows.groupBy("shard", "one", "two").agg(F.min(F.struct("doc_id", "place")).alias("m"), F.max("doc_id").alias("last")).where("m.doc_id < last")
     owned = confirmed.groupBy("shard", F.col("m.doc_id").alias("doc_id")).agg(F.collect_list("m.place").alias("own"))
@@ -240,7 +242,7 @@ def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases:
     return located.unionByName(copies).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 25, most_broadcast: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 25, most_broadcast: int = 64 << 20) -> DataFrame:
     """Removes each word that a window of `window` words covers which also starts in a document of a smaller doc_id.
 
     Takes documents (doc_id, text and any other columns) and returns the input's columns, text being the kept words joined
@@ -250,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 25, most_bro
     stay; an empty table gives no rows.
     """
     spans = materialize(removed(docs, window, phrase, most_broadcast=most_broadcast))
-    few = spans.count() <= most_broadcast // 10
+    few = spans.agg(F.coalesce(F.sum(24 + 16 * F.size("spans")), F.lit(0))).first()[0] <= most_broadcast
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut(texts, spans):

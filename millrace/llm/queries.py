@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from .embeddings import embedding_links
 from .packing import best_fit_packing
+from .sentence_pieces import sampled_digests
 from .sharding import histogram_shards
 from .simhash import simhash_components
 from .substring import remove_repeats
+from .token_binary import token_matrices
 from .topk import scaled, voronoi_topk
+from .toxicity import judge_toxicity
 from .url_filters import filter_urls
 
 #: verdict, host, path
@@ -37,6 +40,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("p_low_quality", 4).alias("p_low_quality"), F.round("p_toxic", 4).alias("p_toxic"), "toxic")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -50,10 +58,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return rows.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "segment_ends", "position_resets", "doc_ids", "pieces", "starts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -161,7 +161,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     n = max(2, nodes.count())
     flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = max(14, math.ceil(math.log2(n)))
-    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** width))  # pairs at the threshold itself; closer ones meet more surely
+    keys = max(44, math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** width)))  # pairs at the threshold itself; closer ones meet more surely
     pick = random.Random(3)
     masks = []
     for _ in range(keys):

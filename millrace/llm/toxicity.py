@@ -74,14 +74,18 @@ def link_scores(rows: list, extra, names, weights):
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_chain(labelled: DataFrame, categories: list[str], folds: int = 3, most_rows: int = 6000, most_features: int = 384, ridge: float = 0.5) -> list | None:
-    """Fits a chain on rows (doc_id, text and a 0/1 column for each category); None if there is nothing to fit.
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, most_rows: int = 6000, most_features: int = 384, ridge: float = 0.5) -> list | None:
+    """Fits a chain on documents (doc_id, text) and labels (doc_id and a 0/1 column for each category); None without any.
 
-    The sample is bounded: the `most_rows` labelled rows of the smallest text hash, fitted in one task. Copies of a text
-    share a fold. Rows with a null label are left out. Gives (category, hashes, weights) in the order of the chain.
+    The sample is bounded: the `most_rows` labels of the smallest doc_id hash, whose documents alone leave the scan, fitted
+    in one task. Copies of a text share a fold. Labels that are null, or whose document is missing, are left out.
     """
-    known = labelled.where(" and ".join(f"`{c}` is not null" for c in categories))
-    sample = known.select(F.col("text").cast("string").alias("text"), *[F.col(c).cast("double").alias(c) for c in categories], F.xxhash64(F.col("text").cast("string")).alias("h")).orderBy("h").limit(most_rows)
+    known = labels.where("doc_id is not null and " + " and ".join(f"`{c}` is not null" for c in categories))
+    known = known.select(F.col("doc_id").cast("long").alias("labelled_id"), *[F.col(c).cast("double").alias(c) for c in categories])
+    few = known.orderBy(F.xxhash64("labelled_id"), "labelled_id", *categories).limit(most_rows)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(F.broadcast(few), F.col("id") == F.col("labelled_id"))  # at most most_rows
+    sample = rows.select("text", *categories, F.xxhash64("text").alias("h")).limit(2 * most_rows)
 
     def fit(pdf):
         import numpy as np
@@ -107,7 +111,7 @@ def fit_chain(labelled: DataFrame, categories: list[str], folds: int = 3, most_r
                 extra = np.c_[extra, p]
         return pd.DataFrame(out)
 
-    small_batches(labelled.sparkSession)
+    small_batches(docs.sparkSession)
     found = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "link int, hashes array<long>, weights array<double>").orderBy("link").collect()
     return [(categories[r["link"]], list(r["hashes"]), list(r["weights"])) for r in found] or None
 
@@ -132,20 +136,19 @@ def score_chain(docs: DataFrame, chain: list) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their labels as categories: low_quality (quality is 0) and toxic. Join on a null doc_id finds nothing."""
-    known = labels.select(F.col("doc_id").alias("labelled_id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled_id")).select("text", "low_quality", "toxic")
+def label_categories(labels: DataFrame) -> DataFrame:
+    """Labels (doc_id, quality, toxic) as categories: low_quality (quality is 0) and toxic."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.35) -> DataFrame:
+def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.42) -> DataFrame:
     """Scores every document (doc_id, text) by a chain fitted on the labelled ones: doc_id, p_low_quality, p_toxic, toxic.
 
     A document is toxic if the chain's last probability reaches the threshold (below a half: a missed one costs more). Null and empty texts have no features and
     get the constant's probability; without labels nothing is known, and the scores are null and no document toxic.
     Repeated rows are scored each; an empty table gives no rows.
     """
-    chain = fit_chain(labelled_documents(docs, labels), ["low_quality", "toxic"])
+    chain = fit_chain(docs, label_categories(labels), ["low_quality", "toxic"])
     if chain is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("double").alias("p_low_quality"), F.lit(None).cast("double").alias("p_toxic"), F.lit(False).alias("toxic"))
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)

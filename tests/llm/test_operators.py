@@ -146,7 +146,7 @@ def test_toxicity_on_held_out_rows(spark):
     train, test = toxic_rows(500, 1), toxic_rows(300, 2)
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in train], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q, x) for i, _, q, x in train] + [(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    chain = toxicity.fit_chain(toxicity.labelled_documents(docs, labels), ["low_quality", "toxic"])
+    chain = toxicity.fit_chain(docs, toxicity.label_categories(labels), ["low_quality", "toxic"])
     assert [c[0] for c in chain] == ["low_quality", "toxic"] and len(chain[1][2]) == len(chain[1][1]) + 2  # the first one's probability and the constant
     held = spark.createDataFrame([(i, t) for i, t, _, _ in test] + [(9999, None), (9998, "")], "doc_id long, text string")
     p = {r.doc_id: r for r in toxicity.score_chain(held, chain).collect()}

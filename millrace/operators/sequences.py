@@ -44,7 +44,7 @@ def anchored_lines(words: DataFrame, keys: list[str], top: str, gap: float) -> D
 
     The first word of a line decides, which no window frame can say; each page is one bounded group.
     """
-    schema = words.schema.add("line", "int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", line int"
 
     def cluster(pdf):
         pdf = pdf.sort_values([top, "x0"]) if "x0" in pdf else pdf.sort_values(top)

@@ -18,66 +18,130 @@ class Lattice:
     """Pieces of a model, and for distinct words the tables of backward draws.
 
     A piece of rank r (0 for the first merge) weighs (r + 2) ** -theta, as if its frequency followed Zipf's law; a piece
-    of one character that has no rank weighs as the last. Characters without a piece become their UTF-8 bytes.
+    of one character that has no rank weighs as the last. Characters without a piece become their UTF-8 bytes. Draws have
+    24 bits, and so do the tables' probabilities, so that sums with node numbers stay exact and don't depend on them.
     """
 
-    def __init__(self, model: str, theta: float, most: int = 3_000_000):
+    #: Words of more characters are cut into runs of this many: their lattices are still exact within a run.
+    LONG = 256
+
+    def __init__(self, model: str, theta: float, most: int = 4_000_000):
+        import numpy as np
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.byte = {int(sp.id_to_piece(k)[3:5], 16): k for k in range(sp.vocab_size()) if sp.is_byte(k)}
-        self.pieces = {sp.id_to_piece(k): k for k in range(sp.vocab_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))}
-        self.weight = {p: (2 + max(0.0, min(-sp.get_score(k), sp.vocab_size()))) ** -theta for p, k in self.pieces.items()}
+        size = sp.vocab_size()
+        self.byte = {int(sp.id_to_piece(k)[3:5], 16): k for k in range(size) if sp.is_byte(k)}
+        self.pieces = {sp.id_to_piece(k): k for k in range(size) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))}
+        self.weight = {p: (2 + max(0.0, min(-sp.get_score(k), size))) ** -theta for p, k in self.pieces.items()}
         self.longest = max(map(len, self.pieces))
-        self.bytes_of = [p.replace(BLANK, " ").encode() for p in map(sp.id_to_piece, range(sp.vocab_size()))]
+        self.bytes_of = [p.replace(BLANK, " ").encode() for p in map(sp.id_to_piece, range(size))]
         for b, k in self.byte.items():
             self.bytes_of[k] = bytes([b])
+        # A trie of the pieces: edges (state, letter) in order, the state each leads to, and the piece that ends there.
+        self.letters = np.array(sorted({ord(c) for p in self.pieces for c in p}), dtype=np.uint32)
+        letter = {chr(c): k + 1 for k, c in enumerate(self.letters.tolist())}
+        states, edges, ends = {"": 0}, [], {}
+        for piece, k in self.pieces.items():
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in states:
+                    states[piece[:n]] = len(states)
+                    edges.append((states[piece[: n - 1]] * (len(letter) + 1) + letter[piece[n - 1]], states[piece[:n]]))
+            ends[states[piece]] = k
+        edges.sort()
+        self.edge, self.to = (np.array(x, dtype=np.int64) for x in zip(*edges))
+        self.ends = np.full(len(states), -1, dtype=np.int64)
+        self.ends[list(ends)] = list(ends.values())
+        # A factor for each letter leaves the odds within a word as they are and keeps long products in range.
+        self.mass = np.zeros(size)
+        for piece, k in self.pieces.items():
+            self.mass[k] = self.weight[piece] * 50.0 ** len(piece)
+        self.rare = (2.0 + size) ** -theta * 50.0
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         import numpy as np
 
-        self.last, self.nodes = {}, 0
-        self.key, self.prev, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.last, self.nodes, self.used = {}, 0, 0
+        self.first = np.zeros(1 << 20, dtype=np.int32)
+        self.cum, self.prev, self.piece = np.zeros(1 << 21), np.zeros(1 << 21, np.int32), np.zeros(1 << 21, np.uint32)
 
     def add(self, words: list) -> None:
-        """Tables of new words: for each place in a word, the pieces that may end there, with cumulative probabilities."""
+        """Tables of new words, all at once: for each place, the pieces that may end there, longest first."""
         import numpy as np
 
-        key, prev, piece = [], [], []
-        weight, number, longest = self.weight.get, self.pieces, self.longest
-        for word in words:
-            base, n = self.nodes, len(word)
-            forward = [1.0]
-            for end in range(1, n + 1):
-                mass, found = 0.0, []
-                for start in range(max(0, end - longest), end):
-                    part = word[start:end]
-                    w = weight(part)
-                    if w is not None:
-                        mass += forward[start] * w
-                        found.append((mass, base + start - 1 if start else -1, number[part]))
-                node = base + end - 1
-                if found:
-                    for m, p, k in found:
-                        key.append(node + m / mass)
-                        prev.append(p)
-                        piece.append(k)
-                    key[-1] = node + 1.0
-                    forward.append(mass)
-                    if mass < 1e-200:  # long words: only ratios count
-                        forward = [f / mass for f in forward]
-                else:  # a character without a piece: nothing but its bytes can cover it
-                    key.append(node + 1.0)
-                    prev.append(node - 1 if end > 1 else -1)
-                    piece.append((1 << 31) + ord(word[end - 1]))
-                    forward.append(forward[-1])
-            self.last[word] = base + n - 1
-            self.nodes += n
-        self.key = np.concatenate([self.key, np.array(key, dtype=np.float64)])
-        self.prev = np.concatenate([self.prev, np.array(prev, dtype=np.int64)])
-        self.piece = np.concatenate([self.piece, np.array(piece, dtype=np.uint32)])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        stops = np.cumsum(sizes)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        total = len(codes)
+        begin = np.repeat(stops - sizes, sizes)
+        place = np.arange(total)
+        begin += (place - begin) // self.LONG * self.LONG  # runs of very long words
+        stop = np.minimum(np.repeat(stops, sizes), begin + self.LONG)
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letter = np.where(self.letters[at] == codes, at + 1, 0)
+        # From every place along the trie, all places in step.
+        start, state, found = place, np.zeros(total, dtype=np.int64), []
+        for n in range(self.longest):
+            inside = start + n < stop[start]
+            start, state = start[inside], state[inside]
+            key = state * (len(self.letters) + 1) + letter[start + n]
+            k = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            on = self.edge[k] == key
+            start, state = start[on], self.to[k[on]]
+            piece = self.ends[state]
+            is_piece = piece >= 0
+            found.append((start[is_piece], n, piece[is_piece]))
+            if n == 0:
+                alone = np.ones(total, dtype=bool)
+                alone[start[is_piece]] = False
+                odd = place[alone]
+                single = np.array([self.byte[b] for b in range(128)], dtype=np.int64)
+                ids = np.where(codes[odd] == 0, (1 << 31) + ord(BLANK), np.where(codes[odd] < 128, single[np.minimum(codes[odd], 127)], (1 << 31) + codes[odd].astype(np.int64)))
+                found.append((odd, 0, ids))
+        # By the place where they end, the longest first; a place has at most one piece of a length.
+        counts = np.zeros(total, dtype=np.int64)
+        for s, n, _ in found:
+            counts[s + n] += 1
+        heads = np.cumsum(counts) - counts
+        start, piece, filled = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64), heads.copy()
+        for s, n, k in reversed(found):
+            slot = filled[s + n]
+            start[slot], piece[slot] = s, k
+            filled[s + n] += 1
+        end = np.repeat(place, counts)
+        known = piece < len(self.mass)
+        mass = np.where(known, self.mass[np.where(known, piece, 0)], 0)
+        mass[mass == 0] = self.rare  # bytes
+        # Forward weights, by the place in the word: each place needs those before it only.
+        opens = start == begin[start]
+        step = (end - begin[end]).astype(np.uint8)
+        order = np.argsort(step, kind="stable")
+        bounds = np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))
+        forward, part = np.zeros(total), np.empty(len(start))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            o = order[a:b]
+            part[o] = np.where(opens[o], 1.0, forward[start[o] - 1]) * mass[o]
+            np.add.at(forward, end[o], part[o])
+        part /= forward[end]
+        cum = part.copy()
+        for r in range(1, int(counts.max())):
+            more = heads[counts > r] + r
+            cum[more] += cum[more - 1]
+        cum = np.floor(cum * 2.0**24 + 0.5) / 2.0**24
+        cum[heads + counts - 1] = 1.0
+        # A run of a very long word goes on in the run before it.
+        before = np.where(opens & (start == np.repeat(stops - sizes, sizes)[start]), -1, start - 1 + self.nodes)
+        n = len(start)
+        while self.used + n > len(self.cum):
+            self.cum, self.prev, self.piece = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cum, self.prev, self.piece))
+        while self.nodes + total > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.cum[self.used : self.used + n], self.prev[self.used : self.used + n], self.piece[self.used : self.used + n] = cum, before, piece
+        self.first[self.nodes : self.nodes + total] = heads + self.used
+        self.last.update(zip(words, (self.nodes + stops - 1).tolist()))
+        self.nodes, self.used = self.nodes + total, self.used + n
 
     def words_of(self, text: str) -> list:
         """The text's words with their blanks shown; line ends stand alone, as do characters that look like a shown blank."""
@@ -98,11 +162,11 @@ class Lattice:
         words = [self.words_of(t) if t else [] for t in texts]
         counts = np.array([len(w) for w in words], dtype=np.int64)
         flat = [w for ws in words for w in ws]
-        if len(self.key) > self.most:
+        if self.used > self.most:
             self.clear()
         new = list({w for w in flat if w not in self.last})
         if new:
-            self.add(["\0" if w == "\0" else w for w in new])
+            self.add(new)
         node = np.fromiter(map(self.last.__getitem__, flat), dtype=np.int64, count=len(flat))
         row = np.repeat(np.array([(k * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93) & (2**64 - 1) for k in keys], dtype=np.uint64), counts)
         place = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
@@ -110,8 +174,12 @@ class Lattice:
         active, steps, lengths = np.arange(len(flat)), [], np.zeros(len(flat), dtype=np.int64)
         while len(active):
             state = mixed(state + np.uint64(0x9E3779B97F4A7C15))
-            u = (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            at = np.minimum(np.searchsorted(self.key, node + u, side="right"), len(self.key) - 1)
+            u = ((state >> np.uint64(40)).astype(np.float64) + 0.5) * 2.0**-24
+            at = self.first[node]
+            past = np.flatnonzero(u > self.cum[at])
+            while len(past):
+                at[past] += 1
+                past = past[u[past] > self.cum[at[past]]]
             steps.append((active, self.piece[at]))
             lengths[active] += 1
             node = self.prev[at]
@@ -134,7 +202,7 @@ class Lattice:
         for k, is_odd in zip(ids.tolist(), odd.tolist()):
             if is_odd:
                 c = k - (1 << 31)
-                out += [self.byte[b] for b in (BLANK if c == 0 else chr(c)).encode()]
+                out += [self.byte[b] for b in chr(c).encode()]
             else:
                 out.append(k)
         return np.array(out, dtype=np.uint32)

@@ -196,10 +196,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     def apart(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
+    def sized(ids: DataFrame) -> DataFrame:
+        """Broadcast up to 64 MB of rows of two numbers; beyond that the join shuffles."""
+        return F.broadcast(ids) if 16 * ids.count() <= 64 << 20 else ids
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct())
         asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialize(shingle_sets(known.dropDuplicates(["doc_id"]).join(asked, "doc_id", "left_semi"), shingle))
+        asked = materialize(asked)
+        sets = materialize(shingle_sets(known.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
         same = F.size(F.array_intersect("sa", "sb"))
         return materialize(pairs.join(left, "a").join(right, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
@@ -210,7 +215,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     links = verified(led.select(F.col("s.rep").alias("a"), F.col("m.rep").alias("b")))
     # Then all pairs of a key that are not in one group yet; pairs inside a group could add nothing.
     grouped = materialize(components(links))
-    placed = spread().join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", "part", F.coalesce("root", "rep").alias("root"))
+    placed = spread().join(sized(grouped), F.col("rep") == F.col("node"), "left").select("key", "rep", "part", F.coalesce("root", "rep").alias("root"))
     a, b = placed.alias("a"), placed.alias("b")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & apart("a.part", "b.part"))
     links = links.unionByName(verified(rest.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, units
-from ..operators import aggregates, catalog, documents, feedback, joins, pages, sequences, upserts
+from ..operators import aggregates, catalog, documents, feedback, joins, pages, sequences, strategies, upserts
 from ..sinks import sql_dump
 from ..streaming.changes import drained
 
@@ -218,6 +218,13 @@ def row_classify(spark, sf_dir):
     return found.groupBy("doc_id", F.col("r.label").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("r.confidence") < documents.REVIEW_BELOW).alias("to_review"), F.round(F.max("r.confidence"), 4).alias("best"))
 
 
+@query()
+def line_candidates(spark, sf_dir):
+    """Product candidates from the lines of every document, by the first strategy that finds any."""
+    rows = documents.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return strategies.candidates(rows, ["doc_id"]).groupBy("doc_id", "strategy").agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
+
+
 @query()
 def region_detect(spark, sf_dir):
     rows = documents.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text")

@@ -150,7 +150,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     large sets of Jaccard similarity s is 2s / (1 + s). Distances to single-bit references, `width` of them at a time with
     width = log2 of the number of fingerprints, give the keys that pairs meet under, as many keys as the asked recall
     at the threshold needs; so the pairs that meet by chance stay in proportion to the documents. They are discarded
-    by their distances to a 64-bit part and verified by the exact Jaccard similarity. Equal fingerprints are one node.
+    by their distances over a 64-bit part and over all bits (two deviations beyond the expected ones are kept) and verified
+    by the exact Jaccard similarity. Equal fingerprints are one node.
     Documents without words form one group, as equal texts; rows without doc_id are in no group and left out.
     """
     import math
@@ -200,8 +201,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
         """Broadcast up to 64 MB of rows of two numbers; beyond that the join shuffles."""
         return F.broadcast(ids) if 16 * ids.count() <= 64 << 20 else ids
 
+    bits = 64 * words
+    far = math.ceil(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
+
+    def close(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(words)), F.lit(0)) <= far
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct())
+        whole = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"))
+        pairs = materialize(pairs.distinct().join(whole[0], "a").join(whole[1], "b").where(close("fa", "fb")).select("a", "b"))
         asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         asked = materialize(asked)
         sets = materialize(shingle_sets(known.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
@@ -213,12 +221,20 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     least = spread().groupBy("key").agg(F.min(F.struct("rep", "part")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
     led = spread().alias("s").join(least.alias("m"), (F.col("s.key") == F.col("m.key")) & (F.col("s.rep") > F.col("m.rep")) & apart("s.part", "m.part"))
     links = verified(led.select(F.col("s.rep").alias("a"), F.col("m.rep").alias("b")))
-    # Then all pairs of a key that are not in one group yet; pairs inside a group could add nothing.
+    # Then all pairs of a key that are not in one group yet; pairs inside a group could add nothing. Rows of keys with more
+    # than eight carry the whole fingerprint, so that a large group's pairs are discarded where they meet.
     grouped = materialize(components(links))
-    placed = spread().join(sized(grouped), F.col("rep") == F.col("node"), "left").select("key", "rep", "part", F.coalesce("root", "rep").alias("root"))
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & apart("a.part", "b.part"))
-    links = links.unionByName(verified(rest.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))))
+    crowded = materialize(spread().groupBy("key").agg(F.count("*").alias("n")).where("n > 8").select("key"))
+    rows = spread().join(sized(grouped), F.col("rep") == F.col("node"), "left").select("key", "rep", "part", F.coalesce("root", "rep").alias("root"))
+    few = rows.join(sized(crowded), "key", "left_anti")
+    many = rows.join(sized(crowded), "key", "left_semi").join(nodes.select("rep", "fp"), "rep")
+
+    def apart_roots(placed: DataFrame, near: Column) -> DataFrame:
+        a, b = placed.alias("a"), placed.alias("b")
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+
+    rest = apart_roots(few, apart("a.part", "b.part")).unionByName(apart_roots(many, close("a.fp", "b.fp")))
+    links = links.unionByName(verified(rest))
     roots = components(links)
     rooted = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "h", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(rooted, ["h", "fp"]).select("doc_id", "component_id")

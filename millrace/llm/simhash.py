@@ -9,6 +9,7 @@ found by. Pairs whose largest difference over the other references exceeds r are
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -143,105 +144,101 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return prints.join(rooted.join(named, "root").select("f", "component_id"), "f").select("doc_id", "f", "component_id")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, recall: float = 0.9) -> DataFrame:
-    """Groups of texts whose sets of `shingle`-word shingles have Jaccard similarity >= similarity: doc_id, component_id.
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 4096, most: int = 65536):
+    """Hashes of shingles that three or more of about `sample` documents (by the hash of doc_id) have, rarer ones first.
 
-    Wide fingerprints (64 x words bits): one bit differs with the probability angle / pi, where the cosine of two equally
-    large sets of Jaccard similarity s is 2s / (1 + s). Distances to single-bit references, `width` of them at a time with
-    width = log2 of the number of fingerprints, give the keys that pairs meet under, as many keys as the asked recall
-    at the threshold needs; so the pairs that meet by chance stay in proportion to the documents. They are discarded
-    by their distances over a 64-bit part and over all bits (two deviations beyond the expected ones are kept) and verified
-    by the exact Jaccard similarity. Equal fingerprints are one node.
-    Documents without words form one group, as equal texts; rows without doc_id are in no group and left out.
+    They only order the shingles of `heads`; which ones are listed changes the work, not the pairs found.
     """
-    import math
+    import numpy as np
 
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = materialize(fingerprints(known, shingle, words).withColumn("h", F.xxhash64("fp")))
-    nodes = materialize(prints.groupBy("fp", "h").agg(F.min("doc_id").alias("rep")))
-    n = max(2, nodes.count())
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(14, math.ceil(math.log2(n)))
-    keys = max(44, math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** width)))  # pairs at the threshold itself; closer ones meet more surely
-    pick = random.Random(3)
-    masks = []
-    for _ in range(keys):
-        mask = [0] * words
-        for bit in pick.sample(range(64 * words), width):
-            mask[bit // 64] |= 1 << bit % 64
-        masks.append(mask)
-    most = math.ceil(64 * flip + 3.5 * math.sqrt(64 * flip * (1 - flip)))
-
-    def keyed(batches):
+    share = min(1.0, sample / max(1, docs.count()))
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    counts = shingle_sets(few, shingle).select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "x").limit(most).collect()
+    return np.array([r["x"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
+
+
+def heads(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
+    """doc_id, h (128 bits of the set of shingles, as bytes), size of that set, and head: its first shingles.
+
+    Shingles are in one order everywhere: those not in `common` by their hash, then those in it. Two sets of m and n
+    shingles with Jaccard similarity >= s share one of the first m - ceil(s m) + 1 and n - ceil(s n) + 1.
+    """
+    def read(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        m = np.array(masks, dtype=np.uint64)
-        odd = np.array([pick_odd(k) for k in range(words)], dtype=np.uint64)
+        by_hash = np.argsort(common, kind="stable")
+        known = common[by_hash]
         for batch in batches:
-            fp = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, words).view(np.uint64)
-            mixed = np.zeros((len(fp), keys), dtype=np.uint64)
-            for k in range(words):
-                part = (fp[:, k, None] & m[None, :, k]) * odd[k]
-                mixed = (mixed ^ part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(31)
-            mixed += np.arange(keys, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-            rep = np.repeat(batch.column(0).to_numpy(), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(mixed.reshape(-1).view(np.int64)), pa.array(np.repeat(fp[:, 0].view(np.int64), keys))], names=["rep", "key", "part"])
+            h, sizes, first = [], [], []
+            for t in batch.column(1).to_pylist():
+                s = np.unique(shingle_hashes(t or b"", shingle))
+                h.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[at] == s
+                    s = np.concatenate([s[~hit], common[np.sort(by_hash[at[hit]])]])
+                first.append(s[:n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, type=pa.binary()), pa.array(sizes, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))], names=["doc_id", "h", "size", "head"])
 
     small_batches(docs.sparkSession)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, h binary, size int, head array<long>")
+
 
-    def spread() -> DataFrame:
-        return nodes.select("rep", "fp").mapInArrow(keyed, "rep long, key long, part long")
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of texts whose sets of `shingle`-word shingles have Jaccard similarity >= similarity: doc_id, component_id.
 
-    def apart(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+    Exact at every size: the nodes are the sets themselves (equal ones are one node), pairs meet under the rare shingles that
+    their heads must share (see `heads`), are discarded only by bounds that follow from their sizes and the place of the
+    shared shingle, and are verified by the exact similarity. First each node is compared with the least node of its
+    first shingles, which links most of a large group; then all pairs that are not in one group yet, without those of a
+    shingle's largest group among themselves.
+    Documents without words form one group, as equal texts; rows without doc_id are in no group and left out.
+    """
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prints = materialize(heads(known, shingle, similarity, common_shingles(known, shingle)))
+    nodes = materialize(prints.groupBy("h", "size").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")))
+    placed = nodes.select("rep", "size", F.posexplode("head").alias("pos", "key"))
 
     def sized(ids: DataFrame) -> DataFrame:
         """Broadcast up to 64 MB of rows of two numbers; beyond that the join shuffles."""
         return F.broadcast(ids) if 16 * ids.count() <= 64 << 20 else ids
 
-    bits = 64 * words
-    far = math.ceil(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
-
-    def close(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(words)), F.lit(0)) <= far
+    def possible(a: str, b: str) -> Column:
+        """The shared shingle being their first one, the pair can still reach the similarity."""
+        whole = F.col(f"{a}.size") + F.col(f"{b}.size")
+        return F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos")) >= whole * (similarity / (1 + similarity)) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
-        whole = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"))
-        pairs = materialize(pairs.distinct().join(whole[0], "a").join(whole[1], "b").where(close("fa", "fb")).select("a", "b"))
-        asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        asked = materialize(asked)
+        pairs = materialize(pairs.distinct())
+        asked = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
         sets = materialize(shingle_sets(known.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
         same = F.size(F.array_intersect("sa", "sb"))
-        return materialize(pairs.join(left, "a").join(right, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
+        return materialize(pairs.join(left, "a").join(right, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
 
-    # First every row of a key against the key's least alone: in a large group that links most rows with few pairs.
-    least = spread().groupBy("key").agg(F.min(F.struct("rep", "part")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
-    led = spread().alias("s").join(least.alias("m"), (F.col("s.key") == F.col("m.key")) & (F.col("s.rep") > F.col("m.rep")) & apart("s.part", "m.part"))
+    early = placed.where("pos < 8")
+    least = early.groupBy("key").agg(F.min(F.struct("rep", "size", "pos")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
+    led = early.alias("s").join(least.alias("m"), (F.col("s.key") == F.col("m.key")) & (F.col("s.rep") > F.col("m.rep")) & possible("s", "m"))
     links = verified(led.select(F.col("s.rep").alias("a"), F.col("m.rep").alias("b")))
-    # Then all pairs of a key that are not in one group yet; pairs inside a group could add nothing. Rows of keys with more
-    # than eight carry the whole fingerprint, so that a large group's pairs are discarded where they meet.
     grouped = materialize(components(links))
-    crowded = materialize(spread().groupBy("key").agg(F.count("*").alias("n")).where("n > 8").select("key"))
-    rows = spread().join(sized(grouped), F.col("rep") == F.col("node"), "left").select("key", "rep", "part", F.coalesce("root", "rep").alias("root"))
-    few = rows.join(sized(crowded), "key", "left_anti")
-    many = rows.join(sized(crowded), "key", "left_semi").join(nodes.select("rep", "fp"), "rep")
-
-    def apart_roots(placed: DataFrame, near: Column) -> DataFrame:
-        a, b = placed.alias("a"), placed.alias("b")
-        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-
-    rest = apart_roots(few, apart("a.part", "b.part")).unionByName(apart_roots(many, close("a.fp", "b.fp")))
+    rooted = nodes.join(sized(grouped), F.col("rep") == F.col("node"), "left").select("rep", "size", "head", F.coalesce("root", "rep").alias("root"))
+    rows = rooted.select("rep", "size", "root", F.posexplode("head").alias("pos", "key"))
+    split = materialize(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    rows = materialize(rows.join(sized(split), "key", "left_semi"))
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = materialize(rows.join(main, "key"))
+    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
+    rest = a.join(b, met & possible("a", "b")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     links = links.unionByName(verified(rest))
     roots = components(links)
-    rooted = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "h", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(rooted, ["h", "fp"]).select("doc_id", "component_id")
-
-
-def pick_odd(k: int) -> int:
-    return (0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1
+    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("h", "size", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, ["h", "size"]).select("doc_id", "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:

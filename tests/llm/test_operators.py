@@ -240,6 +240,25 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(empty(spark)).count() == 0
 
 
+def shingles5(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_groups_finds_all_pairs_at_the_threshold(spark):
+    rows, r = [], random.Random(6)
+    for k in range(150):
+        w = [f"u{r.randrange(10**6)}" for _ in range(400)]
+        v = list(w)
+        for p in r.sample(range(10, 390), r.choice((8, 9, 10))):
+            v[p] = f"new{p}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    alike = [len(a & b) / len(a | b) for a, b in ((shingles5(rows[2 * k][1]), shingles5(rows[2 * k + 1][1])) for k in range(150))]
+    found = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert sum(0.8 <= s <= 0.85 for s in alike) > 50 and any(s < 0.8 for s in alike)
+    assert all((found[2 * k + 1] == 2 * k) == (s >= 0.8) for k, s in enumerate(alike))
+
+
 def test_sharding(spark, docs):
     big = frame(spark, ROWS + [(100 + i, "hot copy of a text " * 20) for i in range(300)])
     for slice_bytes in (64 << 20, 2000):

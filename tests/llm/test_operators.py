@@ -259,6 +259,12 @@ def test_similar_groups_finds_all_pairs_at_the_threshold(spark):
     assert all((found[2 * k + 1] == 2 * k) == (s >= 0.8) for k, s in enumerate(alike))
 
 
+def test_similar_groups_tells_repeats_from_likeness(spark):
+    a, b = ("word " * n + " ".join(f"{c}{k}" for k in range(200)) for n, c in ((400, "a"), (300, "b")))
+    found = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, [(1, a), (2, b), (3, a)])).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
 def test_sharding(spark, docs):
     big = frame(spark, ROWS + [(100 + i, "hot copy of a text " * 20) for i in range(300)])
     for slice_bytes in (64 << 20, 2000):

@@ -265,6 +265,12 @@ def test_similar_groups_tells_repeats_from_likeness(spark):
     assert found == {1: 1, 2: 2, 3: 1}
 
 
+def test_similar_groups_ignores_how_often_a_line_repeats(spark):
+    text = prose(1000, 77)
+    found = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, [(1, text), (2, text + "\nall rights kept by the owner" * 300)])).collect()}
+    assert found == {1: 1, 2: 1}
+
+
 def test_sharding(spark, docs):
     big = frame(spark, ROWS + [(100 + i, "hot copy of a text " * 20) for i in range(300)])
     for slice_bytes in (64 << 20, 2000):

@@ -73,10 +73,46 @@ def promoted(rules: DataFrame, hits: DataFrame, key: str, step: float = 0.5, mos
 
 
 def folded(events: DataFrame, key: str, order: str, start: float = 0.0, most: float = 3.0) -> DataFrame:
-    """Weights after promotions and demotions in order (column `step`), clamped to 0 .. most after each: key, weight, is_active."""
-    steps = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "step"))).alias("_e"))
-    weight = F.aggregate("_e", F.lit(start).cast("double"), lambda w, e: F.least(F.lit(most), F.greatest(F.lit(0.0), w + e["step"])))
-    return steps.select(key, weight.alias("weight")).withColumn("is_active", F.col("weight") > 0)
+    """Weights after promotions and demotions in order (column `step`), clamped to 0 .. most after each: key, weight, is_active.
+
+    A step is the map w -> min(high, max(low, w + step)), and such maps compose to one of their kind. Events are dealt by
+    ranges of key and order, so that a frequent key's are spread over tasks; each range is read once, in order, and
+    gives one map a key. Only those few are folded per key. A null step sets the weight to 0, as greatest skips nulls.
+    """
+    names = ["key", "part", "step", "low", "high"]
+    dealt = events.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col("step").cast("double").alias("step"))
+    dealt = dealt.repartitionByRange("key", "order", "step").sortWithinPartitions("key", "order", "step").select("key", "step")
+
+    def composed(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, now, kind = TaskContext.get().partitionId(), None, None
+
+        def row(k, s, low, high):
+            return pa.RecordBatch.from_arrays([pa.array([k], type=kind), pa.array([part], type=pa.int32()), *[pa.array([x], type=pa.float64()) for x in (s, low, high)]], names=names)
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, step in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now is None or now[0] != k:
+                    if now is not None:
+                        yield row(*now)
+                    now = (k, 0.0, float("-inf"), float("inf"))
+                _, s, low, high = now
+                if step is None or step != step:
+                    to = 0.0 if step is None else most
+                    now = (k, 0.0, min(most, to), min(most, to))
+                else:
+                    now = (k, s + step, *(min(most, max(0.0, x + step)) for x in (low, high)))
+        if now is not None:
+            yield row(*now)
+
+    kind = dealt.schema["key"].dataType.simpleString()
+    maps = dealt.mapInArrow(composed, f"key {kind}, part int, step double, low double, high double")
+    steps = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "step", "low", "high"))).alias("_e"))
+    weight = F.aggregate("_e", F.lit(start).cast("double"), lambda w, e: F.least(e["high"], F.greatest(e["low"], w + e["step"])))
+    return steps.select(F.col("key").alias(key), weight.alias("weight")).withColumn("is_active", F.col("weight") > 0)
 
 
 def changed_prices(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

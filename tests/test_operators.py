@@ -77,6 +77,17 @@ def test_weights(spark):
     assert r == {"k": (3.0, True), "z": (0.0, False)}
 
 
+def test_weights_of_a_frequent_key_are_folded_in_ranges(spark):
+    steps = [(0.5, -0.25, -0.75, 0.25)[i * i % 7 % 4] for i in range(20_000)]
+    events = spark.createDataFrame([("k", i, s) for i, s in enumerate(steps)] + [(None, 0, 0.5), ("n", 0, 0.5), ("n", 1, None), ("n", 2, 0.25)], "key string, n long, step double").repartition(8)
+    w = 0.0
+    for s in steps:
+        w = min(3.0, max(0.0, w + s))
+    found = upserts.folded(events, "key", "n")
+    assert {x.key: x.weight for x in found.collect()} == {"k": w, None: 0.5, "n": 0.25}
+    assert "rangepartitioning" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dimension(spark):
     cur, inc = spark.createDataFrame([(5, "a")], "id long, name string"), spark.createDataFrame([("b",), ("a",), ("c",), ("b",), (None,)], "name string")
     assert sorted(map(tuple, upserts.dimension(cur, inc, ["name"], "id").collect())) == [(5, "a"), (6, "b"), (7, "c")]

@@ -214,7 +214,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         return F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos")) >= whole * (similarity / (1 + similarity)) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct())
+        """Pairs that hold; whole sets are read only for pairs whose heads share enough.
+
+        What two sets share beyond their heads is at most the rest of the one whose head ends first in the common order.
+        """
+        whole = nodes.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("head").alias("ha")), nodes.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("head").alias("hb"))
+        most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+        enough = most >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+        pairs = materialize(pairs.distinct().join(whole[0], "a").join(whole[1], "b").where(enough).select("a", "b").distinct())
         asked = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
         sets = materialize(shingle_sets(known.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -231,7 +238,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     split = materialize(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
     rows = materialize(rows.join(sized(split), "key", "left_semi"))
     main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = materialize(rows.join(main, "key"))
+    rows = rows.join(main, "key")
     a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
     rest = a.join(b, met & possible("a", "b")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))

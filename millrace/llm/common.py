@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's spark.checkpoint.dir; a new folder under /tmp only where it is unset."""
+    """The folder for checkpoints: the cluster's spark.checkpoint.dir; where it is unset, a new folder under /tmp on a local master alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -21,6 +24,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, width: int, most: int = 64 << 20) -> DataFrame:
+    """A side of a join, broadcast if its rows of about `width` bytes are counted to take at most `most`; beyond, both sides shuffle.
+
+    The rows are written first, so that the count and the join read the same ones.
+    """
+    df = materialize(df)
+    return F.broadcast(df) if width * df.count() <= most else df
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what a Python worker holds at once: at most so many rows and 8 MB to an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

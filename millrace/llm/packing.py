@@ -2,9 +2,8 @@
 
 Lengths above a quarter of a sequence are large. Per cell of a few thousand pieces, the large lengths are sorted and cut
 into groups of equal cardinality; every length counts as its group's longest. That leaves few sizes, so that the fillings
-of a sequence (configurations) can be searched exhaustively: for the longest size left, the fullest configuration that
-the counts allow is taken as often as they allow. Actual documents then take the places of their group, and the small
-ones go, longest first, where they leave the least room.
+of a sequence (configurations) can be searched exhaustively; several plans of them are compared. Actual documents then
+take the places of their group, and the small ones go, longest first, where they leave the least room.
 """
 
 from __future__ import annotations
@@ -45,54 +44,129 @@ def token_pieces(docs: DataFrame, encoder: str, path: str, end_id: int, capacity
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def configurations(sizes, counts, capacity: int) -> list:
-    """Fillings of a sequence by few sizes (descending): pairs of (size indexes, how often), until no count is left."""
-    left, plan = list(counts), []
-    for a, size in enumerate(sizes):
+def fullest(sizes, left, a: int, capacity: int) -> list[int]:
+    """Indexes of the one or two further sizes (ascending `sizes`, at most a's) that fill a sequence begun with size a most."""
+    import numpy as np
+
+    room = capacity - sizes[a]
+    live = np.flatnonzero(left[: a + 1] > 0)
+    live = live[sizes[live] <= room]
+    if not len(live):
+        return []
+    of = sizes[live]
+    rest = np.minimum(np.searchsorted(of, room - of, side="right") - 1, np.arange(len(live)))  # the third is the second at most
+    alone = (rest == np.arange(len(live))) & (left[live] < 2)
+    rest = np.where(alone, rest - 1, rest)
+    best = int(np.argmax(of + np.where(rest >= 0, of[rest], 0)))
+    return [int(live[best])] + ([int(live[rest[best]])] if rest[best] >= 0 else [])
+
+
+def largest(sizes, left, a: int, capacity: int) -> list[int]:
+    """Indexes of further sizes for a sequence begun with size a: always the largest that fits."""
+    import numpy as np
+
+    out, room, used = [], capacity - sizes[a], {}
+    while True:
+        live = np.flatnonzero(left[: np.searchsorted(sizes, room, side="right")] > 0)
+        while len(live) and left[live[-1]] <= used.get(int(live[-1]), 0):
+            live = live[:-1]
+        if not len(live):
+            return out
+        k = int(live[-1])
+        used[k] = used.get(k, 0) + 1
+        out.append(k)
+        room -= sizes[k]
+
+
+def configurations(sizes, counts, capacity: int, choose) -> list:
+    """Fillings of a sequence by few sizes (ascending): pairs of (size indexes, how often), until no count is left.
+
+    For the longest size left, the filling that `choose` finds is taken as often as the counts allow.
+    """
+    left, plan = counts.copy(), []
+    for a in range(len(sizes) - 1, -1, -1):
         while left[a]:
             left[a] -= 1
-            best, fill = (), 0
-            for b in range(a, len(sizes)):
-                if left[b] and size + sizes[b] <= capacity:
-                    left[b] -= 1
-                    room = capacity - size - sizes[b]
-                    c = next((c for c in range(b, len(sizes)) if left[c] and sizes[c] <= room), None)
-                    left[b] += 1
-                    total = sizes[b] + (sizes[c] if c is not None else 0)
-                    if total > fill:
-                        best, fill = (b,) if c is None else (b, c), total
+            chosen = (a, *choose(sizes, left, a, capacity))
             left[a] += 1
-            chosen = (a, *best)
-            times = min(left[k] // chosen.count(k) for k in set(chosen))
+            times = min(int(left[k]) // chosen.count(k) for k in set(chosen))
             for k in chosen:
                 left[k] -= times
             plan.append((chosen, times))
     return plan
 
 
+def by_best_fit(sizes, counts, capacity: int) -> list:
+    """Fillings as best fit makes them of the sizes, the longest first, each where it leaves the least room."""
+    rooms, by_room, bins = 0, {}, []
+    for k in range(len(sizes) - 1, -1, -1):
+        size = int(sizes[k])
+        for _ in range(int(counts[k])):
+            fits = rooms >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                b = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, b = capacity, len(bins)
+                bins.append([])
+            bins[b].append(k)
+            by_room.setdefault(room - size, []).append(b)
+            rooms |= 1 << (room - size)
+    return [(tuple(chosen), 1) for chosen in bins]
+
+
 def pack(lengths, capacity: int, groups: int = 512):
-    """Sequence number and offset of each length (numpy arrays), all within one task's cell."""
+    """Sequence number and offset of each length (numpy arrays), all within one task's cell.
+
+    The configurations are optimised by comparing plans: over at most `groups` sizes the fullest fillings and the largest
+    that fit, and over groups of equal lengths alone (no rounding) those of best fit. Each plan is carried through to the
+    small lengths, and the one with the fewest sequences holds.
+    """
     import numpy as np
 
-    n = len(lengths)
-    order = np.argsort(-lengths, kind="stable")
-    large = order[: int((lengths > capacity // 4).sum())]
-    bin_of, filled = np.zeros(n, dtype=np.int64), []
+    large = np.flatnonzero(lengths > capacity // 4)
+    large = large[np.argsort(lengths[large], kind="stable")]
     width = max(1, -(-len(large) // groups))
-    members = [list(large[k : k + width][::-1]) for k in range(0, len(large), width)]
-    sizes = [int(lengths[m[-1]]) for m in members]
-    for chosen, times in configurations(sizes, list(map(len, members)), capacity):
+    cuts = np.r_[0, np.arange(len(large) % width or width, len(large), width)] if len(large) else np.zeros(0, np.int64)
+    equal = np.flatnonzero(np.diff(lengths[large], prepend=-1)) if len(large) else cuts
+    plans = [(equal, by_best_fit)] + [(cuts, lambda s, n, c, f=f: configurations(s, n, c, f)) for f in (fullest, largest)]
+    best = None
+    for starts, plan in plans:
+        stops = np.r_[starts[1:], len(large)].astype(np.int64)
+        sizes = lengths[large[stops - 1]] if len(large) else np.zeros(0, np.int64)  # each group counts as its longest
+        found = substituted(lengths, large, starts, stops, plan(sizes, stops - starts, capacity) if len(large) else [], capacity)
+        if best is None or found[1] < best[1]:
+            best = found
+    bin_of = best[0]
+    by_bin = np.argsort(bin_of, kind="stable")
+    ends = np.cumsum(lengths[by_bin])
+    begins = ends - lengths[by_bin]
+    first = np.searchsorted(bin_of[by_bin], bin_of[by_bin], side="left")
+    offset = np.empty(len(lengths), dtype=np.int64)
+    offset[by_bin] = begins - begins[first]
+    return bin_of, offset
+
+
+def substituted(lengths, large, starts, stops, plan, capacity: int):
+    """Puts the actual lengths in the places of their groups, then the small ones by best fit: sequence numbers, how many."""
+    import numpy as np
+
+    bin_of, members, last = np.full(len(lengths), -1, dtype=np.int64), [list(large[a:b]) for a, b in zip(starts.tolist(), stops.tolist())], 0
+    for chosen, times in plan:
         for _ in range(times):
             for k in chosen:
-                bin_of[members[k].pop()] = len(filled)
-            filled.append(0)
-    used = np.bincount(bin_of[large], weights=lengths[large], minlength=len(filled)).astype(np.int64)
+                bin_of[members[k].pop()] = last
+            last += 1
+    used = np.bincount(bin_of[large], weights=lengths[large], minlength=last).astype(np.int64)
+    small = np.flatnonzero(bin_of < 0)
     # Best fit of the small ones: sequences by the room they have left, and which rooms there are, as bits of a number.
     by_room: dict[int, list[int]] = {}
     for b, u in enumerate(used.tolist()):
         by_room.setdefault(capacity - u, []).append(b)
-    rooms, last = sum(1 << r for r in by_room), len(filled)
-    for k in order[len(large) :].tolist():
+    rooms = sum(1 << r for r in by_room)
+    for k in small[np.argsort(-lengths[small], kind="stable")].tolist():
         size = int(lengths[k])
         fits = rooms >> size
         if fits:
@@ -106,26 +180,21 @@ def pack(lengths, capacity: int, groups: int = 512):
         bin_of[k] = b
         by_room.setdefault(room - size, []).append(b)
         rooms |= 1 << (room - size)
-    by_bin = np.argsort(bin_of, kind="stable")
-    ends = np.cumsum(lengths[by_bin])
-    begins = ends - lengths[by_bin]
-    first = np.searchsorted(bin_of[by_bin], bin_of[by_bin], side="left")
-    offset = np.empty(n, dtype=np.int64)
-    offset[by_bin] = begins - begins[first]
-    return bin_of, offset
+    return bin_of, last
 
 
 def _pack_cells(pieces: DataFrame, cell, capacity: int, series: int) -> DataFrame:
-    def one(key, pdf):
+    def one(key, cell):
         import numpy as np
+        import pyarrow as pa
 
-        lengths = pdf["length"].to_numpy()
+        lengths = cell["length"].to_numpy()
         bins, offset = pack(lengths, capacity)
-        fill = np.bincount(bins, weights=lengths)
-        return pdf.drop(columns=["cell"]).assign(sequence_id=(series << 56) + (int(key[0]) << 24) + bins, offset=offset, sequence_fill=fill[bins].astype(np.int64))
+        fill = np.bincount(bins, weights=lengths)[bins].astype(np.int64)
+        return pa.table([*(cell[n] for n in names), pa.array((series << 56) + (key[0].as_py() << 24) + bins), pa.array(offset), pa.array(fill)], names=[*names, "sequence_id", "offset", "sequence_fill"])
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return pieces.select(*names, cell.alias("cell")).groupBy("cell").applyInPandas(one, f"{PIECES}, sequence_id long, offset long, sequence_fill long")
+    return pieces.select(*names, cell.alias("cell")).groupBy("cell").applyInArrow(one, f"{PIECES}, sequence_id long, offset long, sequence_fill long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, encoder: str = "word_bpe", cell_rows: int = 8192) -> DataFrame:

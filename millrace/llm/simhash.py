@@ -15,7 +15,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, materialize, sized, small_batches
 
 
 def shingle_hashes(text: bytes, size: int):
@@ -100,6 +100,26 @@ def distance(fp: Column, reference: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(signed(reference))))
 
 
+def pivot_tables(prints: DataFrame, radius: int) -> DataFrame:
+    """Adds to fingerprints (column f) their table: `blocks`, an entry for each block's references, and `wide`, distances."""
+    zero = F.bit_count("f")
+    entries = [F.xxhash64(*[distance(F.col("f"), r) - zero for r in family]) for family in block_references(radius)]
+    return prints.select("*", F.array(*entries).alias("blocks"), F.array(*[distance(F.col("f"), r).cast("tinyint") for r in wide_references()]).alias("wide"))
+
+
+def keyed_by_pivots(tables: DataFrame, radius: int) -> DataFrame:
+    """A row for each three blocks of a fingerprint's table: fingerprints within `radius` bits share one of these keys."""
+    triples = itertools.combinations(range(radius + 3), 3)
+    at = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[F.col("blocks")[b] for b in t]).alias("key")) for k, t in enumerate(triples)]
+    return tables.withColumn("at", F.explode(F.array(*at))).select(*tables.columns, "at.k", "at.key")
+
+
+def within(radius: int) -> Column:
+    """Of two table rows a and b: discarded by the largest coordinate difference, then verified by the fingerprints."""
+    apart = F.greatest(*[F.abs(F.col("a.wide")[k] - F.col("b.wide")[k]) for k in range(12)])
+    return (apart <= radius) & (F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius)
+
+
 def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """All pairs (a, b), a < b, of distinct 64-bit fingerprints (column f) at `radius` or fewer differing bits, each once.
 
@@ -110,20 +130,14 @@ def hamming_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     skew join.
     """
     families = block_references(radius)
-    zero = F.bit_count("f")
-    entries = [F.xxhash64(*[distance(F.col("f"), r) - zero for r in family]) for family in families]
-    wide = F.array(*[distance(F.col("f"), r).cast("tinyint") for r in wide_references()])
-    tables = materialize(prints.select("f", F.array(*entries).alias("blocks"), wide.alias("wide")))
+    keyed = keyed_by_pivots(materialize(pivot_tables(prints, radius)), radius)
     triples = list(itertools.combinations(range(len(families)), 3))
-    at = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[F.col("blocks")[b] for b in t]).alias("key")) for k, t in enumerate(triples)]
-    keyed = tables.select("f", "blocks", "wide", F.explode(F.array(*at)).alias("at")).select("f", "blocks", "wide", "at.k", "at.key")
     often = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keyed = keyed.join(often, "key", "left_semi")
     a, b = keyed.alias("a"), keyed.alias("b")
     equal = [F.col(f"a.blocks")[k] == F.col("b.blocks")[k] for k in range(len(families))]
     first = F.coalesce(*[F.when(equal[x] & equal[y] & equal[z], F.lit(k)) for k, (x, y, z) in enumerate(triples)])
-    apart = F.greatest(*[F.abs(F.col("a.wide")[k] - F.col("b.wide")[k]) for k in range(12)])
-    near = (F.col("a.f") < F.col("b.f")) & (apart <= radius) & (F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius) & (first == F.col("a.k"))
+    near = (F.col("a.f") < F.col("b.f")) & within(radius) & (first == F.col("a.k"))
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k") == F.col("b.k")) & near).select(F.col("a.f").alias("a"), F.col("b.f").alias("b"))
 
 
@@ -144,25 +158,34 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return prints.join(rooted.join(named, "root").select("f", "component_id"), "f").select("doc_id", "f", "component_id")
 
 
-def common_shingles(docs: DataFrame, shingle: int, sample: int = 4096, most: int = 65536):
-    """Hashes of shingles that three or more of about `sample` documents (by the hash of doc_id) have, rarer ones first.
+def common_shingles(rows: DataFrame, shingle: int, sample: int = 4096, most: int = 65536):
+    """Hashes of shingles that three or more of about `sample` rows (by the hash of d and t) have, rarer ones first.
 
     They only order the shingles of `heads`; which ones are listed changes the work, not the pairs found.
     """
     import numpy as np
 
-    share = min(1.0, sample / max(1, docs.count()))
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    counts = shingle_sets(few, shingle).select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
+    share = min(1.0, sample / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64("d", "t"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["d", "t"])
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["x"])
+
+    counts = few.select(F.col("text").cast("binary")).mapInArrow(sets, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "x").limit(most).collect()
     return np.array([r["x"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
 
 
-def heads(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
-    """doc_id, h (128 bits of the set of shingles, as bytes), size of that set, and head: its first shingles.
+def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
+    """Adds h (128 bits of the set of shingles), its size, f (SimHash over the set) and head: its first shingles.
 
     Shingles are in one order everywhere: those not in `common` by their hash, then those in it. Two sets of m and n
-    shingles with Jaccard similarity >= s share one of the first m - ceil(s m) + 1 and n - ceil(s n) + 1.
+    shingles with Jaccard similarity >= s share one of the first m - ceil(s m) + 1 and n - ceil(s n) + 1. The head holds
+    32 bits of each, which may bring pairs together but lose none.
     """
     def read(batches):
         import numpy as np
@@ -172,90 +195,145 @@ def heads(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame
         by_hash = np.argsort(common, kind="stable")
         known = common[by_hash]
         for batch in batches:
-            h, sizes, first = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = np.unique(shingle_hashes(t or b"", shingle))
+            h, sizes, prints, first = [], [], [], []
+            for t in batch.column(3).to_pylist():
+                s = np.unique(shingle_hashes(t, shingle))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
+                prints.append(signed(majority_bits(s)))
                 n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
-                    s = np.concatenate([s[~hit], common[np.sort(by_hash[at[hit]])]])
-                first.append(s[:n].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, type=pa.binary()), pa.array(sizes, type=pa.int32()), pa.array(first, type=pa.list_(pa.int64()))], names=["doc_id", "h", "size", "head"])
+                    s = np.concatenate([s[~hit][:n], common[np.sort(by_hash[at[hit]])]])
+                first.append((s[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "d", "t", "h", "size", "f", "head"])
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, h binary, size int, head array<long>")
+    small_batches(rows.sparkSession)
+    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, d long, t long, h binary, size int, f long, head array<int>")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of texts whose sets of `shingle`-word shingles have Jaccard similarity >= similarity: doc_id, component_id.
-
-    Exact at every size: the nodes are the sets themselves (equal ones are one node), pairs meet under the rare shingles that
-    their heads must share (see `heads`), are discarded only by bounds that follow from their sizes and the place of the
-    shared shingle, and are verified by the exact similarity. First each node is compared with the least node of its
-    first shingles, which links most of a large group; then all pairs that are not in one group yet, without those of a
-    shingle's largest group among themselves.
-    Documents without words form one group, as equal texts; rows without doc_id are in no group and left out.
-    """
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = materialize(heads(known, shingle, similarity, common_shingles(known, shingle)))
-    nodes = materialize(prints.groupBy("h", "size").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")))
-    placed = nodes.select("rep", "size", F.posexplode("head").alias("pos", "key"))
+def alike(shingle: int, similarity: float):
+    """Of rows (a, b, texts of a and b), those whose sets of shingles are similar enough: a, b."""
+    def verify(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, left = None, None
+        for batch in batches:
+            keep = []
+            for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:  # rows come sorted by a
+                    last, left = a, np.unique(shingle_hashes(one.as_py(), shingle))
+                right = np.unique(shingle_hashes(two.as_py(), shingle))
+                same = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(same >= similarity * (len(left) + len(right) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def sized(ids: DataFrame) -> DataFrame:
-        """Broadcast up to 64 MB of rows of two numbers; beyond that the join shuffles."""
-        return F.broadcast(ids) if 16 * ids.count() <= 64 << 20 else ids
+    return verify
 
-    def possible(a: str, b: str) -> Column:
-        """The shared shingle being their first one, the pair can still reach the similarity."""
-        whole = F.col(f"{a}.size") + F.col(f"{b}.size")
-        return F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos")) >= whole * (similarity / (1 + similarity)) - 1e-6
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that hold; whole sets are read only for pairs whose heads share enough.
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), and d and t, which tell rows apart: the doc_id (the largest number for null), the text's hash."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(doc_id.isNull(), text).alias("t"), text.alias("text"))
+
 
-        What two sets share beyond their heads is at most the rest of the one whose head ends first in the common order.
-        """
-        whole = nodes.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("head").alias("ha")), nodes.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("head").alias("hb"))
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, block: int = 256) -> DataFrame:
+    """doc_id, d and t of each row (see `identified`) and `first`: the struct (d, t, doc_id) of the first row of its group.
+
+    Groups are connected by texts whose sets of `shingle`-word shingles have Jaccard similarity >= similarity. The nodes are
+    the sets themselves: equal ones are one node. Links are looked for in three rounds, each over nodes that are not in
+    one group yet, and each link is verified by the exact similarity of whole texts:
+
+    1. SimHash: under each key of the pivot distance tables, every node meets the first one, is discarded by the largest
+       coordinate difference or the Hamming distance, and survivors are verified. That joins the closest copies.
+    2. Under each of the first eight shingles of its head every node meets the first one.
+    3. All pairs that share a shingle of their heads. As similar sets must share one (see `heads`), no link is lost at
+       any size of the table; pairs are left out only by bounds that follow from sizes, places and heads. A shingle's
+       largest group isn't paired with itself.
+    """
+    rows = identified(docs)
+    prints = materialize(heads(rows, shingle, similarity, common_shingles(rows, shingle))).withColumn("row", F.monotonically_increasing_id())
+    first = F.min(F.struct("d", "t", "doc_id", "row")).alias("first")
+    nodes = materialize(prints.groupBy("h").agg(first, F.first("size").alias("size"), F.first("f").alias("f"), F.first("head").alias("head")).select(F.col("first.row").alias("rep"), "h", "first", "size", "f", "head"))
+    bar = similarity / (1 + similarity)
+
+    def possible() -> Column:
+        """The shared shingle being the first one that a and b share, they can still reach the similarity."""
+        return F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= (F.col("a.size") + F.col("b.size")) * bar - 1e-6
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose heads share enough: beyond them, two sets share at most the rest of the one whose head ends first."""
+        one, two = (nodes.select(F.col("rep").alias(c), F.col("size").alias(f"n{c}"), F.col("head").alias(f"h{c}")) for c in "ab")
         most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
-        enough = most >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
-        pairs = materialize(pairs.distinct().join(whole[0], "a").join(whole[1], "b").where(enough).select("a", "b").distinct())
-        asked = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        sets = materialize(shingle_sets(known.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-        same = F.size(F.array_intersect("sa", "sb"))
-        return materialize(pairs.join(left, "a").join(right, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
-
-    early = placed.where("pos < 8")
-    least = early.groupBy("key").agg(F.min(F.struct("rep", "size", "pos")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
-    led = early.alias("s").join(least.alias("m"), (F.col("s.key") == F.col("m.key")) & (F.col("s.rep") > F.col("m.rep")) & possible("s", "m"))
-    links = verified(led.select(F.col("s.rep").alias("a"), F.col("m.rep").alias("b")))
-    grouped = materialize(components(links))
-    rooted = nodes.join(sized(grouped), F.col("rep") == F.col("node"), "left").select("rep", "size", "head", F.coalesce("root", "rep").alias("root"))
-    rows = rooted.select("rep", "size", "root", F.posexplode("head").alias("pos", "key"))
-    split = materialize(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-    rows = materialize(rows.join(sized(split), "key", "left_semi"))
-    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = rows.join(main, "key")
-    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
+        return pairs.distinct().join(one, "a").join(two, "b").where(most >= (F.col("na") + F.col("nb")) * bar - 1e-6).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that hold by their whole texts; one a with many b is dealt to tasks in blocks."""
+        pairs = materialize(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        keys = nodes.select("rep", "first.d", "first.t").join(sized(wanted, 16), "rep")
+        texts = rows.select("d", "t", "text").join(sized(keys, 32), ["d", "t"]).select("rep", F.col("text").cast("binary").alias("text")).dropDuplicates(["rep"])
+        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        many = sized(blocks.where("blocks > 1"), 24)
+        dealt = pairs.join(many, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int")).select("a", "b", "block")
+        left = texts.join(many, F.col("rep") == F.col("a"), "left").select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.col("text").alias("one"))
+        right = texts.select(F.col("rep").alias("b"), F.col("text").alias("two"))
+        both = dealt.join(right, "b").join(left, ["a", "block"]).select("a", "b", "one", "two")
+        return materialize(both.mapInArrow(alike(shingle, similarity), "a long, b long"))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        """The nodes with the root of the groups that `links` make."""
+        roots = components(links)
+        return nodes.join(sized(roots, 16), F.col("rep") == F.col("node"), "left").select("rep", "size", "head", F.coalesce("root", "rep").alias("root"))
+
+    keyed = keyed_by_pivots(pivot_tables(nodes.select("rep", "f"), radius), radius).select("rep", "f", "wide", "key")
+    least = keyed.groupBy("key").agg(F.min(F.struct("rep", "f", "wide")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
+    met = keyed.alias("b").join(least.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & within(radius))
+    links = verified(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
+
+    early = materialize(grouped(links)).select("rep", "size", "root", F.posexplode(F.slice("head", 1, 8)).alias("pos", "key"))
+    least = early.groupBy("key").agg(F.min(F.struct("rep", "size", "root", "pos")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "m.*")
+    met = early.alias("b").join(least.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible())
+    links = links.unionByName(verified(promising(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))))
+
+    placed = materialize(grouped(links)).select("rep", "size", "root", F.posexplode("head").alias("pos", "key"))
+    split = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    placed = placed.join(sized(split, 16), "key", "left_semi")
+    main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    placed = materialize(placed.join(main, "key"))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
-    rest = a.join(b, met & possible("a", "b")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    links = links.unionByName(verified(rest))
-    roots = components(links)
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("h", "size", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, ["h", "size"]).select("doc_id", "component_id")
+    rest = placed.where("root <> main").alias("a").join(placed.alias("b"), met & possible()).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    links = links.unionByName(verified(promising(rest)))
 
+    roots = nodes.join(components(links), F.col("rep") == F.col("node"), "left").select("h", "first", F.coalesce("root", "rep").alias("root"))
+    tops = roots.groupBy("root").agg(F.min(F.struct("first.d", "first.t", "first.doc_id")).alias("top"))
+    return prints.select("doc_id", "d", "t", "h").join(roots.join(tops, "root").select("h", "top"), "h").select("doc_id", "d", "t", F.col("top").alias("first"))
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and s: the set of the shingles' hashes, of whole texts."""
-    def sets(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t or b"", shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.int64()))], names=["doc_id", "s"])
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of alike texts (see similar_rows), one row a document: doc_id, component_id (the group's smallest doc_id).
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sets, "doc_id long, s array<long>")
+    Null and empty texts, and those without words, form one group, as equal texts. Rows without doc_id take part, after
+    all others: they take their group's smallest doc_id, and null if it has none. Different texts under one doc_id are
+    rows of their own; repeated rows stay; an empty table gives no rows.
+    """
+    return similar_rows(docs, shingle, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any other columns) that come first in their group of alike texts.
+
+    Of each group one row stays: that of the smallest doc_id (rows without come last), of different texts under one
+    doc_id that of the smallest hash, and of repeated rows any one.
+    """
+    found = materialize(similar_rows(docs, shingle, similarity).groupBy("d", "t").agg(F.first("first").alias("first"), F.count("*").alias("n")))
+    leads = (F.col("d") == F.col("first.d")) & (F.col("t") == F.col("first.t"))
+    gone, repeated = found.where(~leads).select("d", "t"), found.where(leads & (F.col("n") > 1)).select("d", "t")
+    one = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col("doc_id").cast("long").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), one[0].alias("d"), one[1].alias("t")).join(sized(gone, 24), ["d", "t"], "left_anti")
+    if not repeated.isEmpty():
+        repeated = sized(repeated, 24)
+        rows = rows.join(repeated, ["d", "t"], "left_anti").unionByName(rows.join(repeated, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]))
+    return rows.select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bpe, small_batches
+from .common import byte_bpe, materialize, small_batches
 
 
 class Capacities:
@@ -60,8 +60,8 @@ def token_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     end id to `capacity`), segment_ends (cumulative segment lengths from 0), position_resets (places where positions start
     anew at 0, those of a later piece too), doc_ids, pieces and starts (ids of its document before it) of the segments.
     Ids are by tiktoken, with the end id after each document. Longer documents are cut into full pieces and a rest, so
-    that the pieces of a document give back all its ids. Pieces are dealt by hash to cells of about `cell_bytes` of text,
-    packed one a task. Null text is an empty document; null and repeated doc_ids keep their rows; an empty table gives none.
+    that the pieces of a document give back all its ids. Pieces are written once and dealt row by row, whatever they hold, to
+    cells of about `cell_bytes` of text, packed one a task. Null text is an empty document; null and repeated doc_ids keep their rows; an empty table gives none.
     """
     wide = end_id > 0xFFFF
     kind = "<u4" if wide else "<u2"
@@ -81,26 +81,26 @@ def token_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             columns = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "ids"])
 
-    def assemble(key, pdf):
+    def assemble(key, cell):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        ids, out = pdf["ids"].to_list(), []
-        width = 4 if wide else 2
+        doc_ids, numbers, starts, ids = (cell[c].to_pylist() for c in ("doc_id", "piece", "start", "ids"))
+        out, width = [], 4 if wide else 2
         fill = np.full(1, end_id, dtype=kind).tobytes()
-        doc_ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
         for b, members in enumerate(best_fit_decreasing([len(x) // width for x in ids], capacity)):
             ends = np.cumsum([0, *(len(ids[k]) // width for k in members)]).tolist()
             row = b"".join(ids[k] for k in members)
-            out.append(((int(key[0]) << 32) + b, ends[-1], row + fill * (capacity - ends[-1]), ends, ends[:-1], [doc_ids[k] for k in members], [int(pdf["piece"].iat[k]) for k in members], [int(pdf["start"].iat[k]) for k in members]))
-        return pd.DataFrame(out, columns=["sequence_id", "n_tokens", "ids", "segment_ends", "position_resets", "doc_ids", "pieces", "starts"])
+            out.append(((key[0].as_py() << 32) + b, ends[-1], row + fill * (capacity - ends[-1]), ends, ends[:-1], *([c[k] for k in members] for c in (doc_ids, numbers, starts))))
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["sequence_id", "n_tokens", "ids", "segment_ends", "position_resets", "doc_ids", "pieces", "starts"])
 
     small_batches(docs.sparkSession)
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, ids binary")
-    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(cells)))
-    return dealt.groupBy("cell").applyInPandas(assemble, "sequence_id long, n_tokens int, ids binary, segment_ends array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>")
+    pieces = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, ids binary"))
+    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)))
+    return dealt.groupBy("cell").applyInArrow(assemble, "sequence_id long, n_tokens int, ids binary, segment_ends array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>")
 
 
-def write_matrices(matrices: DataFrame, path: str, capacity: int = 2048) -> None:
+def write_matrices(matrices: DataFrame, path: str) -> None:
     """Writes the rows of token_matrices as Parquet; each ids value is one row of the id matrix, of the same size for all."""
     matrices.write.mode("errorifexists").option("compression", "zstd").parquet(path)

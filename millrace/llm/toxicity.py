@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 #: Letters that a word's beginnings are taken of, besides the word itself.
 PREFIXES = (4, 5, 6)
 
+#: What the labels know, in the order of the chain.
+CATEGORIES = ["low_quality", "toxic"]
+
 
 def features(text: str):
     """Numbers (hashes, ascending) of the distinct lower-case words of a whole text and of their beginnings."""
@@ -77,15 +81,18 @@ def link_scores(rows: list, extra, names, weights):
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, most_rows: int = 6000, most_features: int = 384, ridge: float = 0.5) -> list | None:
     """Fits a chain on documents (doc_id, text) and labels (doc_id and a 0/1 column for each category); None without any.
 
-    The sample is bounded: the `most_rows` labels of the smallest doc_id hash, whose documents alone leave the scan, fitted
-    in one task. Copies of a text share a fold. Labels that are null, or whose document is missing, are left out.
+    The sample is bounded: the `most_rows` labels of the smallest doc_id hash, fitted in one task; of different texts
+    under one doc_id the least is taken. Copies of a text share a fold. Labels that are null, or whose document is
+    missing, are left out.
     """
     known = labels.where("doc_id is not null and " + " and ".join(f"`{c}` is not null" for c in categories))
     known = known.select(F.col("doc_id").cast("long").alias("labelled_id"), *[F.col(c).cast("double").alias(c) for c in categories])
     few = known.orderBy(F.xxhash64("labelled_id"), "labelled_id", *categories).limit(most_rows)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(F.broadcast(few), F.col("id") == F.col("labelled_id"))  # at most most_rows
-    sample = rows.select("text", *categories, F.xxhash64("text").alias("h")).limit(2 * most_rows)
+    few = materialize(few)
+    ids = F.broadcast(few.select(F.col("labelled_id").alias("id")).distinct())  # at most most_rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sample = texts.join(F.broadcast(few), F.col("id") == F.col("labelled_id")).select("text", *categories, F.xxhash64("text").alias("h"))
 
     def fit(pdf):
         import numpy as np
@@ -116,26 +123,61 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds:
     return [(categories[r["link"]], list(r["hashes"]), list(r["weights"])) for r in found] or None
 
 
+def arrays(chain: list) -> list:
+    import numpy as np
+
+    return [(np.array(h, dtype=np.int64), np.array(w)) for _, h, w in chain]
+
+
+def probabilities(texts: list, links: list):
+    """A row of probabilities for each text (null: empty), one a link; each link sees those before it."""
+    import numpy as np
+
+    rows = [features(t or "") for t in texts]
+    p = np.zeros((len(rows), 0))
+    for names, weights in links:
+        p = np.c_[p, link_scores(rows, p, names, weights)]
+    return p
+
+
 def score_chain(docs: DataFrame, chain: list) -> DataFrame:
     """Scores every whole text (doc_id, text): doc_id and p_<category> for each link; null text counts as empty."""
     columns = [f"p_{name}" for name, _, _ in chain]
 
     def score(batches):
-        import numpy as np
         import pyarrow as pa
 
-        links = [(np.array(h, dtype=np.int64), np.array(w)) for _, h, w in chain]
+        links = arrays(chain)
         for batch in batches:
-            rows = [features(t or "") for t in batch.column(1).to_pylist()]
-            p = np.zeros((len(rows), 0))
-            for names, weights in links:
-                p = np.c_[p, link_scores(rows, p, names, weights)]
+            p = probabilities(batch.column(1).to_pylist(), links)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(links)))], names=["doc_id", *columns])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.42) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any other columns) that judge_toxicity doesn't call toxic, each by its own text.
+
+    Rows are judged one by one, so that rows without doc_id and different texts under one doc_id get their own verdict;
+    nothing is joined or moved. Without labels all rows stay.
+    """
+    chain = fit_chain(docs, label_categories(labels), CATEGORIES)
+    if chain is None:
+        return docs
+
+    def keep(batches):
+        import pyarrow as pa
+
+        links = arrays(chain)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(probabilities(batch.column(1).to_pylist(), links)[:, -1] < threshold))
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(keep, StructType([StructField("row", docs.schema)])).select("row.*")
+
+
 def label_categories(labels: DataFrame) -> DataFrame:
     """Labels (doc_id, quality, toxic) as categories: low_quality (quality is 0) and toxic."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -144,11 +186,11 @@ def label_categories(labels: DataFrame) -> DataFrame:
 def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.42) -> DataFrame:
     """Scores every document (doc_id, text) by a chain fitted on the labelled ones: doc_id, p_low_quality, p_toxic, toxic.
 
-    A document is toxic if the chain's last probability reaches the threshold (below a half: a missed one costs more). Null and empty texts have no features and
-    get the constant's probability; without labels nothing is known, and the scores are null and no document toxic.
+    A document is toxic if the chain's last probability reaches the threshold (below a half: a missed one
+    costs more). Null and empty texts have no features and get the constant's probability; without labels nothing is known, and the scores are null and no document toxic.
     Repeated rows are scored each; an empty table gives no rows.
     """
-    chain = fit_chain(docs, label_categories(labels), ["low_quality", "toxic"])
+    chain = fit_chain(docs, label_categories(labels), CATEGORIES)
     if chain is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("double").alias("p_low_quality"), F.lit(None).cast("double").alias("p_toxic"), F.lit(False).alias("toxic"))
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)

@@ -14,24 +14,19 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint_dir
 from millrace.llm.packing import best_fit_packing
-from millrace.llm.simhash import similar_groups
+from millrace.llm.simhash import without_similar
 from millrace.llm.substring import remove_repeats
-from millrace.llm.toxicity import judge_toxicity
+from millrace.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones among them, doesn't call toxic."""
-    toxic = judge_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("toxic").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike by 0.8 or more in five-word shingles, the document of the smallest doc_id.
-
-    Documents without doc_id can't be grouped and stay.
-    """
-    copies = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of texts alike by 0.8 or more in five-word shingles, the document of the smallest doc_id (null comes last)."""
+    return without_similar(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

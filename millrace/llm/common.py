@@ -39,9 +39,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, found whatever the case and other columns of the input."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers outlive their tasks, beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -96,7 +103,7 @@ class WordCache:
     find(list of new words) gives each word's ids. A text costs one lookup a word and one join.
     """
 
-    def __init__(self, find, most: int = 250_000):
+    def __init__(self, find, most: int = 100_000):
         self.find, self.most, self.known = find, most, {}
 
     def __call__(self, words: list) -> bytes:

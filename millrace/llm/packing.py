@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_bpe, materialize, small_batches, word_bpe
+from .common import byte_bpe, give_back, materialize, small_batches, word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,6 +39,7 @@ def token_pieces(docs: DataFrame, encoder: str, path: str, end_id: int, capacity
                     out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
             columns = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)

@@ -32,8 +32,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = scaled(table(spark, sf_dir, "embeddings"))
-    return voronoi_topk(vectors.where("id % 50 = 0"), vectors)
+    return voronoi_topk(scaled(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

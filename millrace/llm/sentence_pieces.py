@@ -22,8 +22,8 @@ class Lattice:
     24 bits, and so do the tables' probabilities, so that sums with node numbers stay exact and don't depend on them.
     """
 
-    #: Words of more characters are cut into runs of this many: their lattices are still exact within a run.
-    LONG = 256
+    #: After so many places the forward weights of a word are scaled anew, so that none leaves a double's range.
+    RESCALE = 32
 
     def __init__(self, model: str, theta: float, most: int = 4_000_000):
         import numpy as np
@@ -77,8 +77,7 @@ class Lattice:
         total = len(codes)
         begin = np.repeat(stops - sizes, sizes)
         place = np.arange(total)
-        begin += (place - begin) // self.LONG * self.LONG  # runs of very long words
-        stop = np.minimum(np.repeat(stops, sizes), begin + self.LONG)
+        stop = np.repeat(stops, sizes)
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         letter = np.where(self.letters[at] == codes, at + 1, 0)
         # From every place along the trie, all places in step.
@@ -114,25 +113,34 @@ class Lattice:
         known = piece < len(self.mass)
         mass = np.where(known, self.mass[np.where(known, piece, 0)], 0)
         mass[mass == 0] = self.rare  # bytes
-        # Forward weights, by the place in the word: each place needs those before it only.
+        # Forward weights, by the place in the word: each place needs those before it only, back to the longest piece. What
+        # ends at a place is weighed by its odds there, so that a word's weights may be scaled as it goes on.
         opens = start == begin[start]
-        step = (end - begin[end]).astype(np.uint8)
+        most = int(sizes.max(initial=0))
+        step = (end - begin[end]).astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
+        by_step = place[np.argsort(place - begin, kind="stable")] if most >= self.RESCALE else place
+        alive = np.searchsorted(np.sort(sizes), np.arange(most + 1), side="right")  # words that end by a step
+        past = np.cumsum(len(sizes) - alive)
         order = np.argsort(step, kind="stable")
         bounds = np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))
         forward, part = np.zeros(total), np.empty(len(start))
+        step_now = 0
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             o = order[a:b]
             part[o] = np.where(opens[o], 1.0, forward[start[o] - 1]) * mass[o]
             np.add.at(forward, end[o], part[o])
-        part /= forward[end]
+            part[o] /= forward[end[o]]
+            step_now += 1
+            if step_now % self.RESCALE == 0:
+                now = by_step[past[step_now - 1] - (len(sizes) - alive[step_now - 1]) : past[step_now - 1]]
+                forward[now[:, None] - np.arange(min(self.longest, step_now))] /= forward[now][:, None]
         cum = part.copy()
         for r in range(1, int(counts.max())):
             more = heads[counts > r] + r
             cum[more] += cum[more - 1]
         cum = np.floor(cum * 2.0**24 + 0.5) / 2.0**24
         cum[heads + counts - 1] = 1.0
-        # A run of a very long word goes on in the run before it.
-        before = np.where(opens & (start == np.repeat(stops - sizes, sizes)[start]), -1, start - 1 + self.nodes)
+        before = np.where(opens, -1, start - 1 + self.nodes)
         n = len(start)
         while self.used + n > len(self.cum):
             self.cum, self.prev, self.piece = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cum, self.prev, self.piece))

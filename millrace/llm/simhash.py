@@ -284,8 +284,14 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         return materialize(both.mapInArrow(alike(shingle, similarity), "a long, b long"))
 
     def grouped(links: DataFrame) -> DataFrame:
-        """The nodes with the root of the groups that `links` make."""
-        roots = components(links)
+        """The nodes with a root: nodes of one root are in one group, though not yet all of a group have one root.
+
+        Links (a, b) lead from a node b to an earlier a; each node goes up to eight of them.
+        """
+        up = materialize(links.groupBy("b").agg(F.min("a").alias("a")))
+        for _ in range(3):
+            up = materialize(up.join(up.select(F.col("b").alias("a"), F.col("a").alias("next")), "a", "left").select("b", F.coalesce("next", "a").alias("a")))
+        roots = up.select(F.col("b").alias("node"), F.col("a").alias("root"))
         return nodes.join(sized(roots, 16), F.col("rep") == F.col("node"), "left").select("rep", "size", "head", F.coalesce("root", "rep").alias("root"))
 
     keyed = keyed_by_pivots(pivot_tables(nodes.select("rep", "f"), radius), radius).select("rep", "f", "wide", "key")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialize, small_batches
+from .common import give_back, materialize, small_batches
 
 #: Letters that a word's beginnings are taken of, besides the word itself.
 PREFIXES = (4, 5, 6)
@@ -28,7 +28,7 @@ def features(text: str):
 
     words = set(re.findall(r"[^\W\d_]+", text.lower()))
     parts = words.union(*({f"{n}:{w[:n]}" for w in words if len(w) > n} for n in PREFIXES))
-    return np.unique(np.fromiter((zlib.crc32(p.encode()) for p in parts), dtype=np.int64, count=len(parts)))
+    return np.unique(np.fromiter((zlib.crc32(p.encode()) for p in parts), dtype=np.uint32, count=len(parts)))
 
 
 def fit_link(rows: list, y, extra, most: int, ridge: float):
@@ -39,8 +39,8 @@ def fit_link(rows: list, y, extra, most: int, ridge: float):
     import numpy as np
 
     sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    names, at = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), sizes)
+    names, at = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.uint32)]), return_inverse=True)
+    at, of = at.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     seen = np.bincount(at, minlength=len(names)).astype(float)
     hit = np.bincount(at, weights=y[of], minlength=len(names))
     rate = min(max(y.mean(), 1e-9), 1 - 1e-9)
@@ -63,7 +63,7 @@ def fit_link(rows: list, y, extra, most: int, ridge: float):
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return names[best], w
+    return names[best].astype(np.int64), w
 
 
 def link_scores(rows: list, extra, names, weights):
@@ -72,6 +72,7 @@ def link_scores(rows: list, extra, names, weights):
     out = extra @ weights[len(names) : -1] + weights[-1]
     for i, r in enumerate(rows):
         if len(names) and len(r):
+            r = r.astype(np.int64)
             k = np.searchsorted(names, r)
             k[k == len(names)] = 0
             out[i] += weights[k[names[k] == r]].sum()
@@ -116,6 +117,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds:
                     else:
                         p[inside] = link_scores([rows[r] for r in inside], extra[inside], names, weights)
                 extra = np.c_[extra, p]
+        give_back()
         return pd.DataFrame(out)
 
     small_batches(docs.sparkSession)

@@ -54,8 +54,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def personalised_rank(edges: DataFrame, seeds: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """PageRank that jumps back to seeds (host, seed: shares that sum to 1): host, rank.
 
-    edges: src, dst, share (a host's shares sum to 1). Mass that reaches a host without links is lost, not dealt anew.
-    Each step is one join on the source and one partially aggregated sum by target.
+    edges: src, dst, share (a host's shares sum to 1). Mass that reaches a host without links goes back to the seeds; as
+    that only scales the ranks, they are scaled to sum to 1 at the end. Each step is one join on the source and one
+    partially aggregated sum by target.
     """
     rank = seeds.select("host", F.col("seed").alias("rank"))
     for step in range(iterations):
@@ -63,21 +64,23 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, iterations: int = 10,
         rank = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
         if step % 3 == 2 or step == iterations - 1:
             rank = materialize(rank)
-    return rank
+    total = rank.agg(F.sum("rank")).first()[0] or 1.0
+    return rank.select("host", (F.col("rank") / total).alias("rank"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.0, iterations: int = 10) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.0, iterations: int = 10, most_broadcast: int = 64 << 20) -> DataFrame:
     """Judges pages (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     Where a rule fits, its verdict holds. Other urls get their host's: hosts with allowed urls are trusted seeds and hosts
     with blocked urls blocked ones, both by their counts; trust goes along links, distrust against them, each as a
     personalised PageRank. A host is blocked if its distrust is above its trust by more than `threshold`, and allowed
     otherwise, as are hosts that nothing reaches and urls without a host. Null html has no links; repeated pages count
-    as often as they come; an empty table gives no rows. Extra columns of the input are left out.
+    as often as they come; an empty table gives no rows. Extra columns of the input are left out. The hosts' scores are
+    broadcast if they are counted to take at most `most_broadcast` bytes; beyond, those of crowded hosts alone.
     """
     url = F.col("url").cast("string")
     judged = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), F.col("html").cast("string").alias("html")).withColumn("rule_found", rule_of(F.col("host"), F.col("path"), rules))
-    verdicts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_found.verdict") == "allow").cast("double").alias("allow"), F.count_if(F.col("rule_found.verdict") == "block").cast("double").alias("block")))
+    verdicts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_found.verdict") == "allow").cast("double").alias("allow"), F.count_if(F.col("rule_found.verdict") == "block").cast("double").alias("block"), F.count("*").alias("n")))
     totals = verdicts.agg(F.coalesce(F.sum("allow"), F.lit(0.0)), F.coalesce(F.sum("block"), F.lit(0.0))).first()
     edges = materialize(host_edges(judged))
 
@@ -89,6 +92,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold:
 
     trust = ranked(edges, "allow", totals[0], "trust")
     distrust = ranked(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), "block", totals[1], "distrust")
-    scores = verdicts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = verdicts.join(trust, "host", "left").join(distrust, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = materialize(scores)
     own = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
-    return judged.drop("html").join(scores, "host", "left").select("page_id", "host", "path", F.col("rule_found.rule").alias("rule"), F.coalesce(F.col("rule_found.verdict"), own).alias("verdict"), "trust", "distrust")
+    rows = judged.drop("html")
+    if (scores.agg(F.sum(F.octet_length("host") + 64)).first()[0] or 0) <= most_broadcast:
+        found = rows.join(F.broadcast(scores.drop("n")), "host", "left")
+    else:  # a host of more than a two-thousandth of the pages is one of at most two thousand; the others' rows are few each
+        n_pages = verdicts.agg(F.sum("n")).first()[0]
+        hot = scores.where(F.col("n") * 2000 > n_pages).drop("n")
+        crowded = rows.join(F.broadcast(hot), "host")
+        others = rows.join(F.broadcast(hot.select("host")), "host", "left_anti").join(scores.drop("n"), "host", "left")
+        found = crowded.unionByName(others)
+    return found.select("page_id", "host", "path", F.col("rule_found.rule").alias("rule"), F.coalesce(F.col("rule_found.verdict"), own).alias("verdict"), "trust", "distrust")

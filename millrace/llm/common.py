@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Rows written once as a table in the shared checkpoint folder and read again.
+
+    Unlike a checkpoint, which keeps its plan's guess of its size, a table's size is that of its files; in chains of many
+    joins the guesses multiply until planning takes longer than the work.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sized(df: DataFrame, width: int, most: int = 64 << 20) -> DataFrame:
     """A side of a join, broadcast if its rows of about `width` bytes are counted to take at most `most`; beyond, both sides shuffle.
 
     The rows are written first, so that the count and the join read the same ones.
     """
-    df = materialize(df)
+    df = written(df)
     return F.broadcast(df) if width * df.count() <= most else df
 
 
@@ -64,7 +76,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = materialize(pointed(edges))
+    now = written(pointed(edges))
     before = state(now)
     for _ in range(rounds):
         if not before[0]:
@@ -74,7 +86,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = pointed(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(down, "a")
-        now = materialize(pointed(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))))
+        now = written(pointed(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))))
         after = state(now)
         if after == before:
             break

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, sized, small_batches
+from .common import components, materialize, sized, small_batches, written
 
 
 def shingle_hashes(text: bytes, size: int):
@@ -181,7 +183,10 @@ def common_shingles(rows: DataFrame, shingle: int, sample: int = 4096, most: int
 
 
 def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
-    """Adds h (128 bits of the set of shingles), its size, f (SimHash over the set) and head: its first shingles.
+    """Adds h (128 bits of the set of shingles), its size, f (SimHash over the set), parity and head: its first shingles.
+
+    parity has 1024 bits, and each shingle of the set flips one of them: two sets differ by as many shingles at least as
+    these bits do.
 
     Shingles are in one order everywhere: those not in `common` by their hash, then those in it. Two sets of m and n
     shingles with Jaccard similarity >= s share one of the first m - ceil(s m) + 1 and n - ceil(s n) + 1. The head holds
@@ -195,22 +200,24 @@ def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame
         by_hash = np.argsort(common, kind="stable")
         known = common[by_hash]
         for batch in batches:
-            h, sizes, prints, first = [], [], [], []
+            h, sizes, prints, parity, first = [], [], [], [], []
             for t in batch.column(3).to_pylist():
                 s = np.unique(shingle_hashes(t, shingle))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 prints.append(signed(majority_bits(s)))
+                flips = np.bincount((s >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+                parity.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
                 n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     s = np.concatenate([s[~hit][:n], common[np.sort(by_hash[at[hit]])]])
                 first.append((s[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "d", "t", "h", "size", "f", "head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "d", "t", "h", "size", "f", "parity", "head"])
 
     small_batches(rows.sparkSession)
-    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, d long, t long, h binary, size int, f long, head array<int>")
+    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, d long, t long, h binary, size int, f long, parity array<long>, head array<int>")
 
 
 def alike(shingle: int, similarity: float):
@@ -239,39 +246,46 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(doc_id.isNull(), text).alias("t"), text.alias("text"))
 
 
-def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, block: int = 256) -> DataFrame:
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, block: int = 256, turns: int = 3) -> DataFrame:
     """doc_id, d and t of each row (see `identified`) and `first`: the struct (d, t, doc_id) of the first row of its group.
 
     Groups are connected by texts whose sets of `shingle`-word shingles have Jaccard similarity >= similarity. The nodes are
-    the sets themselves: equal ones are one node. Links are looked for in three rounds, each over nodes that are not in
+    the sets themselves: equal ones are one node. Links are looked for in three ways, each over nodes that are not in
     one group yet, and each link is verified by the exact similarity of whole texts:
 
     1. SimHash: under each key of the pivot distance tables, every node meets the first one, is discarded by the largest
        coordinate difference or the Hamming distance, and survivors are verified. That joins the closest copies.
-    2. Under each of the first eight shingles of its head every node meets the first one.
+    2. Turn by turn each node draws four shingles of its head, those of the least hash, so that similar heads draw alike;
+       the nodes that drew the same one are dealt to lots of about eight, and each meets the first of its lot. The work is
+       linear, and crowds of near copies become one group however large they are.
     3. All pairs that share a shingle of their heads. As similar sets must share one (see `heads`), no link is lost at
-       any size of the table; pairs are left out only by bounds that follow from sizes, places and heads. A shingle's
+       any size of the table; pairs are left out only by bounds that follow from sizes, places and parities. A shingle's
        largest group isn't paired with itself.
     """
     rows = identified(docs)
     prints = materialize(heads(rows, shingle, similarity, common_shingles(rows, shingle))).withColumn("row", F.monotonically_increasing_id())
     first = F.min(F.struct("d", "t", "doc_id", "row")).alias("first")
-    nodes = materialize(prints.groupBy("h").agg(first, F.first("size").alias("size"), F.first("f").alias("f"), F.first("head").alias("head")).select(F.col("first.row").alias("rep"), "h", "first", "size", "f", "head"))
+    nodes = materialize(prints.groupBy("h").agg(first, F.first("size").alias("size"), F.first("f").alias("f"), F.first("parity").alias("parity"), F.first("head").alias("head")).select(F.col("first.row").alias("rep"), "h", "first", "size", "f", "parity", "head"))
     bar = similarity / (1 + similarity)
 
     def possible() -> Column:
         """The shared shingle being the first one that a and b share, they can still reach the similarity."""
         return F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= (F.col("a.size") + F.col("b.size")) * bar - 1e-6
 
+    def close(one: str, two: str, longs: int) -> Column:
+        """The parities of a and b differ in no more bits than sets that are similar enough can."""
+        differing = reduce(operator.add, [F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(longs)])
+        return differing <= (F.col("a.size") + F.col("b.size")) * (1 - similarity) / (1 + similarity) + 1e-6
+
     def promising(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose heads share enough: beyond them, two sets share at most the rest of the one whose head ends first."""
-        one, two = (nodes.select(F.col("rep").alias(c), F.col("size").alias(f"n{c}"), F.col("head").alias(f"h{c}")) for c in "ab")
-        most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
-        return pairs.distinct().join(one, "a").join(two, "b").where(most >= (F.col("na") + F.col("nb")) * bar - 1e-6).select("a", "b")
+        """Pairs (a, b) that their parities leave possible."""
+        one, two = (nodes.select("rep", "size", "parity").alias(c) for c in "ab")
+        pairs = pairs.distinct().alias("p").join(one, F.col("p.a") == F.col("a.rep")).join(two, F.col("p.b") == F.col("b.rep"))
+        return pairs.where(close("a.parity", "b.parity", 16)).select("p.a", "p.b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold by their whole texts; one a with many b is dealt to tasks in blocks."""
-        pairs = materialize(pairs)
+        pairs = written(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         keys = nodes.select("rep", "first.d", "first.t").join(sized(wanted, 16), "rep")
         texts = rows.select("d", "t", "text").join(sized(keys, 32), ["d", "t"]).select("rep", F.col("text").cast("binary").alias("text")).dropDuplicates(["rep"])
@@ -281,36 +295,46 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         left = texts.join(many, F.col("rep") == F.col("a"), "left").select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.col("text").alias("one"))
         right = texts.select(F.col("rep").alias("b"), F.col("text").alias("two"))
         both = dealt.join(right, "b").join(left, ["a", "block"]).select("a", "b", "one", "two")
-        return materialize(both.mapInArrow(alike(shingle, similarity), "a long, b long"))
+        return written(both.mapInArrow(alike(shingle, similarity), "a long, b long"))
 
-    def grouped(links: DataFrame) -> DataFrame:
-        """The nodes with a root: nodes of one root are in one group, though not yet all of a group have one root.
+    def upward(links: DataFrame) -> DataFrame:
+        """Roots (node, root): nodes of one root are in one group, though not yet all of a group have one root.
 
         Links (a, b) lead from a node b to an earlier a; each node goes up to eight of them.
         """
-        up = materialize(links.groupBy("b").agg(F.min("a").alias("a")))
+        up = written(links.groupBy("b").agg(F.min("a").alias("a")))
         for _ in range(3):
-            up = materialize(up.join(up.select(F.col("b").alias("a"), F.col("a").alias("next")), "a", "left").select("b", F.coalesce("next", "a").alias("a")))
-        roots = up.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        return nodes.join(sized(roots, 16), F.col("rep") == F.col("node"), "left").select("rep", "size", "head", F.coalesce("root", "rep").alias("root"))
+            up = written(up.join(up.select(F.col("b").alias("a"), F.col("a").alias("next")), "a", "left").select("b", F.coalesce("next", "a").alias("a")))
+        return up.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+    def grouped(links: DataFrame, rooted=upward) -> DataFrame:
+        """The nodes with the root of the groups that `links` make."""
+        roots = rooted(links)
+        return nodes.join(sized(roots, 16), F.col("rep") == F.col("node"), "left").select("rep", "size", "parity", "head", F.coalesce("root", "rep").alias("root"))
 
     keyed = keyed_by_pivots(pivot_tables(nodes.select("rep", "f"), radius), radius).select("rep", "f", "wide", "key")
     least = keyed.groupBy("key").agg(F.min(F.struct("rep", "f", "wide")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.*")
     met = keyed.alias("b").join(least.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & within(radius))
     links = verified(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
 
-    early = materialize(grouped(links)).select("rep", "size", "root", F.posexplode(F.slice("head", 1, 8)).alias("pos", "key"))
-    least = early.groupBy("key").agg(F.min(F.struct("rep", "size", "root", "pos")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "m.*")
-    met = early.alias("b").join(least.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible())
-    links = links.unionByName(verified(promising(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))))
-
-    placed = materialize(grouped(links)).select("rep", "size", "root", F.posexplode("head").alias("pos", "key"))
-    split = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    for turn in range(turns):
+        drawn = F.slice(F.array_sort(F.transform("head", lambda x: F.xxhash64(x, F.lit(turn)))), 1, 4)
+        early = grouped(links).select("rep", "size", "root", F.explode(drawn).alias("key"))
+        met = early.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / 8).alias("lots")).where("low < high").select("key", "lots")
+        early = written(early.join(sized(met, 24), "key").withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(turn)), "lots")))
+        least = early.groupBy("key", "lot").agg(F.min(F.struct("rep", "size", "root")).alias("m")).select("key", "lot", "m.*")
+        near = (F.col("a.key") == F.col("b.key")) & (F.col("a.lot") == F.col("b.lot")) & (F.col("a.root") != F.col("b.root")) & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6)
+        met = early.alias("b").join(least.alias("a"), near)
+        links = links.unionByName(verified(promising(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))))
+
+    folded = F.array(*[F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity", F.lit(k + 8))) for k in range(8)])  # half the bits, by the same rule
+    placed = grouped(links, components).select("rep", "size", "root", folded.alias("parity"), F.posexplode("head").alias("pos", "key"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     placed = placed.join(sized(split, 16), "key", "left_semi")
     main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    placed = materialize(placed.join(main, "key"))
+    placed = written(placed.join(main, "key"))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
-    rest = placed.where("root <> main").alias("a").join(placed.alias("b"), met & possible()).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    rest = placed.where("root <> main").alias("a").join(placed.alias("b"), met & possible() & close("a.parity", "b.parity", 8)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     links = links.unionByName(verified(promising(rest)))
 
     roots = nodes.join(components(links), F.col("rep") == F.col("node"), "left").select("h", "first", F.coalesce("root", "rep").alias("root"))
@@ -334,7 +358,7 @@ def without_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Of each group one row stays: that of the smallest doc_id (rows without come last), of different texts under one
     doc_id that of the smallest hash, and of repeated rows any one.
     """
-    found = materialize(similar_rows(docs, shingle, similarity).groupBy("d", "t").agg(F.first("first").alias("first"), F.count("*").alias("n")))
+    found = written(similar_rows(docs, shingle, similarity).groupBy("d", "t").agg(F.first("first").alias("first"), F.count("*").alias("n")))
     leads = (F.col("d") == F.col("first.d")) & (F.col("t") == F.col("first.t"))
     gone, repeated = found.where(~leads).select("d", "t"), found.where(leads & (F.col("n") > 1)).select("d", "t")
     one = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col("doc_id").cast("long").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -26,7 +26,7 @@ def integerish(value: Column, within: float = 0.05) -> Column:
     return F.abs(value - F.bround(value)) <= within
 
 
-#: Unit words as they stand behind a quantity, English and Arabic.
+#: Unit words as they stand behind a quantity, English and Arabic, in their order of precedence.
 UNIT_WORDS = (
     r"pcs?|pieces?|units?|nos?\.?|sets?|kits?|bags?|rolls?|cartons?|ctns?|boxes?|pairs?|lots?|jobs?|visits?|"
     r"kgs?|kilogram|grams?|g\b|gr\b|tons?|tonnes?|mt\b|lbs?|pounds?|m\b|mtrs?|meters?|metres?|cm|mm|ft|feet|foot|inches?|in\b|"

@@ -123,6 +123,7 @@ def word_set(text: Column, least: int = 3) -> Column:
 
 
 #: Words that say nothing about a product.
+#: Words that keyword extraction leaves out.
 STOP_WORDS = ["with", "from", "this", "that", "have", "will", "your", "been", "were", "they", "their", "which", "than", "then", "also", "into", "only", "each", "more"]
 
 

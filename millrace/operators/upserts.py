@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.streaming.changes import shared_folder
+
 
 def matched(current: DataFrame, incoming: DataFrame, scope: str, keys: list[str], id_: str) -> DataFrame:
     """Incoming rows with the id of the current row they mean, by the first key that finds one within the scope.
@@ -47,8 +49,12 @@ def applied(current: DataFrame, plan: DataFrame, id_: str, update: list[str], in
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Rows with numbers from 1, gapless, counted per partition; no single task sees all rows."""
-    tagged = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """Rows with numbers from 1, gapless, counted per partition; no single task sees all rows.
+
+    The rows are checkpointed first: their partitions are evaluated twice and must be the same both times.
+    """
+    shared_folder(df.sparkSession)
+    tagged = df.checkpoint().withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     counts = tagged.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return tagged.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy("_m"))).drop("_p", "_m", "_b")

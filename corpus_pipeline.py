@@ -49,7 +49,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
 
-#: The stages fit a model, draw on hashes and tokenize: SQL can't express them. tests/llm holds brute-force versions.
+#: The stages fit a model, draw on hashes and tokenize: SQL can't express them. tests/llm holds brute-force versions of the
+#: stages' operators, and held-out rows for the model.
 ORACLE_SQL = None
 
 

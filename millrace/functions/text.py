@@ -122,7 +122,6 @@ def word_set(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b\w{{{least},}}\b"), F.lit(0)))
 
 
-#: Words that say nothing about a product.
 #: Words that keyword extraction leaves out.
 STOP_WORDS = ["with", "from", "this", "that", "have", "will", "your", "been", "were", "they", "their", "which", "than", "then", "also", "into", "only", "each", "more"]
 
@@ -177,5 +176,10 @@ def labelled(text: Column, names: list[str]) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)(?:{'|'.join(names)})\s*[:：]\s*([^\n|,]+)", 1)), F.lit(""))
 
 
+def shortened(text: Column, most: int = 255) -> Column:
+    """A text of at most `most` characters; a longer one ends in three points."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
 def safe_filename(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9_.\-]", "_")

@@ -38,6 +38,28 @@ def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.where(F.col(column).isin(values))
 
 
+def in_list_where(df: DataFrame, column: str, values: list, corrected: str, predicted: str, wanted: str) -> DataFrame:
+    """Rows whose column is one of the values and whose effective text is the wanted one."""
+    return in_list(df, column, values).where(effective(corrected, predicted, True) == wanted)
+
+
+def approved_products(candidates: DataFrame, session: str | None = None) -> DataFrame:
+    """Approved and corrected candidates whose effective label is product, in a session's order of positions."""
+    rows = candidates if session is None else candidates.where(F.col("session_id") == session)
+    return in_list_where(rows, "status", ["approved", "corrected"], "corrected_label", "predicted_label", "product").orderBy("session_id", "position")
+
+
+def unmatched(items: DataFrame, products: DataFrame, key: str, product_key: str) -> DataFrame:
+    """Items that no product has the key of; items without a key are unmatched, too."""
+    known = products.select(F.col(product_key).alias("_k")).where(F.col("_k").isNotNull())
+    return items.join(known, F.col(key) == F.col("_k"), "left_anti")
+
+
+def suspicious_name(name: Column) -> Column:
+    """Names that hold a host's ending: the page was likely blocked. A null name isn't suspicious."""
+    return F.coalesce(name.contains(".com") | name.contains(".sa"), F.lit(False))
+
+
 def missing_value(df: DataFrame, column: str) -> DataFrame:
     """Null or zero."""
     return df.where(F.col(column).isNull() | (F.col(column) == 0))
@@ -77,7 +99,7 @@ def grid(df: DataFrame, text: str | None = None, category: str | None = None, pr
     """What a grid shows: a text anywhere in the named columns, one category, with or without a price."""
     if text:
         df = df.where(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))
-    if category:
+    if category is not None:
         df = df.where(F.col("category") == category)
     if priced is not None:
         has = F.coalesce(F.col("price") > 0, F.lit(False))

@@ -56,6 +56,22 @@ def number_match(said: Column, truth: Column, within: float = 0.05) -> Column:
     return F.coalesce(F.when(truth == 0, said == 0).otherwise(F.abs(said - truth) / F.abs(truth) <= within), F.lit(False))
 
 
+def field_accuracy(said: DataFrame, truth: DataFrame, position: str, names: list[str] = (), texts: list[str] = (), amounts: list[str] = (), positive: str = "product") -> DataFrame:
+    """Of rows that both call positive: for each field, how many the truth states, how many of them are met, and the share.
+
+    Names match by half of the truth's words, texts when they are equal but for case and outer blanks, amounts within 5 %.
+    Fields that the truth never states have no row.
+    """
+    def exact(s: Column, t: Column) -> Column:
+        return F.coalesce(F.lower(F.trim(s)) == F.lower(F.trim(t)), F.lit(False))
+
+    fields = [(f, rule) for rule, some in ((name_match, names), (exact, texts), (number_match, amounts)) for f in some]
+    s, t = (df.where(F.col("label") == positive).select(position, F.struct(*[f for f, _ in fields]).alias(side)) for df, side in ((said, "s"), (truth, "t")))
+    judged = F.array(*[F.when(F.col(f"t.{f}").isNotNull(), F.struct(F.lit(f).alias("field"), rule(F.col(f"s.{f}"), F.col(f"t.{f}")).alias("hit"))) for f, rule in fields])
+    rows = s.join(t, position).select(F.explode(F.array_compact(judged)).alias("j"))
+    return rows.groupBy(F.col("j.field").alias("field")).agg(F.count("*").alias("total"), F.count_if("j.hit").alias("hits"), F.round(F.count_if("j.hit") / F.count("*"), 4).alias("accuracy"))
+
+
 def evaluated(said: DataFrame, truth: DataFrame, position: str, positive: str = "product") -> DataFrame:
     """Counts and precision, recall and F1 of labels at the same positions; a tail without partner counts against."""
     both = zipped(said.select(position, F.col("label").alias("said")), truth.select(position, F.col("label").alias("truth")), position)

@@ -58,6 +58,21 @@ def anchored_lines(words: DataFrame, keys: list[str], top: str, gap: float) -> D
     return words.groupBy(*keys).applyInPandas(cluster, schema)
 
 
+def bucketed(value: Column, size: float) -> Column:
+    """The nearest multiple of a size, halves to the even one."""
+    return F.bround(value / size) * size
+
+
+def positioned(df: DataFrame, groups: list[str], order: list[str], keys: list[str]) -> DataFrame:
+    """Adds `position`: rows of a key numbered from 0 over all their groups in order, then within each group."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*groups, *order)) - 1)
+
+
+def bounding_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The least box around all boxes (x0, y0, x1, y1) of a key."""
+    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 def column_of(x0: Column, anchors: Column, slack: float = 15.0) -> Column:
     """The number of the rightmost anchor at or before x0 + slack; the first if none is."""
     return F.greatest(F.size(F.filter(anchors, lambda a: a <= x0 + slack)) - 1, F.lit(0))

@@ -27,9 +27,15 @@ def last_of_batch(incoming: DataFrame, keys: list[str], order: str) -> DataFrame
     return incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def applied(current: DataFrame, plan: DataFrame, id_: str, update: list[str], insert: list[str], keep_if_blank: tuple[str, ...] = (), reset: dict[str, Column] | None = None) -> DataFrame:
-    """The next snapshot: updated columns from the plan, the rest as it was, and inserted rows with new ids."""
-    ups = plan.where("action = 'update'").groupBy("matched_id").agg(*[F.last(c).alias(f"_new_{c}") for c in update])
+def applied(current: DataFrame, plan: DataFrame, id_: str, update: list[str], insert: list[str], keep_if_blank: tuple[str, ...] = (), reset: dict[str, Column] | None = None, order: str | None = None) -> DataFrame:
+    """The next snapshot: updated columns from the plan, the rest as it was, and inserted rows with new ids.
+
+    Of several plan rows for one current row the last by `order` counts (without an order: the greatest by values).
+    Incoming rows that mean one new row are for `last_of_batch` to settle before.
+    """
+    values = F.struct(*update)
+    last = F.max_by(values, F.struct(order, values)) if order else F.max(values)
+    ups = plan.where("action = 'update'").groupBy("matched_id").agg(last.alias("_u")).select("matched_id", *[F.col(f"_u.{c}").alias(f"_new_{c}") for c in update])
     joined = current.join(ups, current[id_] == ups["matched_id"], "left")
     hit = F.col("matched_id").isNotNull()
 
@@ -63,13 +69,63 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def dimension(current: DataFrame, incoming: DataFrame, keys: list[str], id_: str) -> DataFrame:
     """Get or create: current rows and one new row, with the next ids in the order of the keys, for each unknown key.
 
-    A dimension's new members are few beside its facts; they are ranked within their first key.
+    They are put in order by an exchange by ranges and numbered range by range.
     """
     new = incoming.select(*keys).where(F.col(keys[-1]).isNotNull()).distinct().join(current.select(*keys), keys, "left_anti")
+    return with_next_ids(current.select(id_, *keys), new, keys, id_)
+
+
+def with_next_ids(current: DataFrame, new: DataFrame, order: list[str], id_: str) -> DataFrame:
+    """Current rows and new ones (all columns but the id), which get the next ids in the order of the given columns."""
+    columns = [c for c in current.columns if c != id_]
     top = current.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    rank = F.row_number().over(Window.orderBy(*keys))
-    fresh = new.withColumn("_n", rank).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast(current.schema[id_].dataType).alias(id_), *keys)
-    return current.select(id_, *keys).unionByName(fresh)
+    ranked = numbered(new.repartitionByRange(*order).sortWithinPartitions(*order), "_n").crossJoin(F.broadcast(top))  # one row
+    return current.unionByName(ranked.select((F.col("_top") + F.col("_n")).cast(current.schema[id_].dataType).alias(id_), *columns))
+
+
+def get_or_create(current: DataFrame, incoming: DataFrame, scope: str, keys: list[str], id_: str) -> DataFrame:
+    """Current rows (id, scope, keys) and a new row for each member that none of the keys finds, tried in order.
+
+    Of incoming rows with the same first filled key within a scope one new row comes, with the least value of each other
+    key. Rows without scope or any filled key create nothing.
+    """
+    told = F.coalesce(*[F.when(F.col(k).cast("string") != "", F.struct(F.lit(n).alias("n"), F.col(k).cast("string").alias("value"))) for n, k in enumerate(keys)])
+    unknown = matched(current, incoming.select(scope, *keys).distinct(), scope, keys, id_).where("action = 'insert'").withColumn("_told", told)
+    new = unknown.where(F.col(scope).isNotNull() & F.col("_told").isNotNull()).groupBy(scope, "_told").agg(*[F.min(k).alias(k) for k in keys])
+    return with_next_ids(current.select(id_, scope, *keys), new, [scope, "_told"], id_)
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """What a plan of `matched` will do: total, inserted, updated, and updated rows by the key that found them (a map)."""
+    by = plan.groupBy("action", "matched_by").agg(F.count("*").alias("n"))
+    updates = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("action") == "update", F.struct("matched_by", "n")))))
+    return by.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("total", F.lit(True)), ("inserted", F.col("action") == "insert"), ("updated", F.col("action") == "update"))], updates.alias("updated_by"))
+
+
+def slug_conflicts(current: DataFrame, incoming: DataFrame, scope: str, slug: str, id_: str) -> DataFrame:
+    """Incoming rows whose slug another row of the scope has: they must be refused. A row doesn't conflict with itself."""
+    taken = current.where(F.col(slug).isNotNull()).select(F.col(scope).alias("_s"), F.col(slug).alias("_g"), F.col(id_).alias("_i"))
+    return incoming.join(taken, (F.col(scope) == F.col("_s")) & (F.col(slug) == F.col("_g")) & ~F.col(id_).eqNullSafe(F.col("_i")), "left_semi")
+
+
+def marked_synced(current: DataFrame, sent: DataFrame, key: str, at: Column) -> DataFrame:
+    """Current rows, with is_synced and synced_at set on those whose last attempt in sent (key, ok, seq) went well."""
+    last = sent.groupBy(F.col(key).alias("_k")).agg(F.max_by("ok", "seq").alias("_ok")).where("_ok")
+    hit = F.col("_k").isNotNull()
+    return current.join(last, F.col(key) == F.col("_k"), "left").withColumns({"is_synced": hit | F.col("is_synced"), "synced_at": F.when(hit, at).otherwise(F.col("synced_at"))}).drop("_k", "_ok")
+
+
+def job_states(changes: DataFrame, job: str, at: str) -> DataFrame:
+    """Of each job's changes (status, `at`): its last status, when it first ran, when it ended (done or failed), how often it ran."""
+    status, when = F.col("status"), F.col(at)
+    return changes.groupBy(job).agg(
+        F.max_by(status, F.struct(when, status)).alias("status"), F.min(F.when(status == "running", when)).alias("started_at"),
+        F.max(F.when(status.isin("done", "failed"), when)).alias("ended_at"), F.count_if(status == "running").alias("runs"))
+
+
+def hard_deleted(current: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Current rows without those of the given keys; null keys delete nothing."""
+    return current.join(ids.select(key).where(F.col(key).isNotNull()), key, "left_anti")
 
 
 def promoted(rules: DataFrame, hits: DataFrame, key: str, step: float = 0.5, most: float = 3.0) -> DataFrame:

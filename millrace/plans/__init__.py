@@ -1 +1,3 @@
-"""The registered queries and their SQL."""
+"""Registered queries."""
+
+from . import queries, records  # noqa: F401  both fill the same registry

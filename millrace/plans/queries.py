@@ -218,7 +218,16 @@ def row_classify(spark, sf_dir):
     return found.groupBy("doc_id", F.col("r.label").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("r.confidence") < documents.REVIEW_BELOW).alias("to_review"), F.round(F.max("r.confidence"), 4).alias("best"))
 
 
-@query()
+def _regions_sql() -> str:
+    kinds = " ".join(f"WHEN regexp_matches(line, '{pattern}') THEN '{name}'" for name, pattern in documents.REGIONS)
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+t AS (SELECT doc_id, line_no, CASE {kinds} ELSE 'product_list' END AS region_type FROM l),
+c AS (SELECT *, CASE WHEN lag(region_type) OVER w <> region_type THEN 1 ELSE 0 END AS c FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c)
+SELECT doc_id, CAST(run AS BIGINT) AS run, region_type, CAST(min(line_no) AS INTEGER) AS first_block, CAST(max(line_no) AS INTEGER) AS last_block, count(*) AS n_blocks FROM r GROUP BY doc_id, run, region_type"""
+
+
+@query(_regions_sql())
 def region_detect(spark, sf_dir):
     rows = documents.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text")
     return documents.regions(rows, ["doc_id"], "line_no", "line")
@@ -314,10 +323,8 @@ def priority_upsert_plan(spark, sf_dir):
 
 @query("WITH cur AS (SELECT DISTINCT p_brand FROM part WHERE p_size <= 3), ids AS (SELECT row_number() OVER (ORDER BY p_brand) AS id, p_brand FROM cur), new AS (SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM cur)) SELECT id, p_brand FROM ids UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM ids) + row_number() OVER (ORDER BY p_brand), p_brand FROM new")
 def dimension_get_or_create(spark, sf_dir):
-    from pyspark.sql import Window
-
     part = read(spark, sf_dir, "part")
-    cur = part.where("p_size <= 3").select("p_brand").distinct().withColumn("id", F.row_number().over(Window.orderBy("p_brand")).cast("long"))
+    cur = upserts.numbered(part.where("p_size <= 3").select("p_brand").distinct().repartitionByRange("p_brand").sortWithinPartitions("p_brand"), "id")
     return upserts.dimension(cur, part, ["p_brand"], "id")
 
 

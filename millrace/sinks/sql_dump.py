@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sql_literal
+from ..streaming.changes import shared_folder
 
 #: Spark's types in MySQL; anything else is a text.
 MYSQL = {T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.DoubleType: "DOUBLE", T.FloatType: "DOUBLE", T.BooleanType: "TINYINT(1)", T.TimestampType: "DATETIME", T.DateType: "DATE", T.BinaryType: "LONGBLOB"}
@@ -24,8 +25,12 @@ def statements(df: DataFrame, table: str, keep: list[str] = ()) -> DataFrame:
 
 
 def batched_statements(df: DataFrame, table: str, order: str, size: int = 500) -> DataFrame:
-    """One INSERT for `size` rows of each partition's key range: `statement`. A range of rows is one batch's group."""
-    rows = df.withColumn("_v", values(df)).repartitionByRange(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """One INSERT for `size` rows of each partition's key range: `statement`. A range of rows is one batch's group.
+
+    Rows are checkpointed first: their partitions are read twice and must be the same both times.
+    """
+    shared_folder(df.sparkSession)
+    rows = df.withColumn("_v", values(df)).repartitionByRange(order).sortWithinPartitions(order).checkpoint().withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     least = rows.groupBy("_p").agg(F.min("_m").alias("_first"))
     batch = F.floor((F.col("_m") - F.col("_first")) / size)
     grouped = rows.join(F.broadcast(least), "_p").groupBy("_p", batch.alias("_b")).agg(F.array_sort(F.collect_list(F.struct(order, "_v"))).alias("_r"))

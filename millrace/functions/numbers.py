@@ -43,7 +43,7 @@ def _found(quantity: Column, unit: Column, method: str, confidence: float, when:
 def quantity(text: Column) -> Column:
     """Struct of quantity, unit, method and confidence.
 
-    The first that applies: number and unit (a comma before three digits is one of thousands, else of decimals), fraction, middle of a range, the quantity of a triple (quantity, price, total
+    The first that applies: number and unit (commas go, so that 2,5 kg is 25: `number_smart` reads decimal commas), fraction, middle of a range, the quantity of a triple (quantity, price, total
     that agree), an integer from 1 to 10000 at the end; else nothing, with confidence 0.
     """
     none = F.lit("")
@@ -58,7 +58,7 @@ def quantity(text: Column) -> Column:
     agree = F.filter(triples, lambda t: (F.size(t) == 3) & (t[1] > 0) & (t[2] > t[1]) & integerish(F.try_divide(t[2], t[1])) & (F.abs(F.try_divide(t[2], t[1]) - t[0]) < 0.01))
     reverse = F.try_element_at(agree, F.lit(1))
     return F.coalesce(
-        _found(number_plain(F.regexp_replace(F.regexp_extract(text, explicit, 1), r",(?!\d{3}$)", ".")), F.regexp_extract(text, explicit, 2), "explicit_unit", 0.95, text.rlike(explicit)),
+        _found(number_plain(F.regexp_extract(text, explicit, 1)), F.regexp_extract(text, explicit, 2), "explicit_unit", 0.95, text.rlike(explicit)),
         _found(F.try_divide(top, bottom), F.regexp_extract(text, fraction, 3), "fraction", 0.85, bottom > 0),
         _found((low + high) / 2, F.regexp_extract(text, span, 3), "range_midpoint", 0.70, high >= low),
         _found(F.bround(F.try_divide(reverse[2], reverse[1])), none, "reverse_calc", 0.80, reverse.isNotNull()),

@@ -56,13 +56,25 @@ def give_back() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+def giving_back(work):
+    """`work` over Arrow batches; at its end the worker returns what it has freed."""
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b), a and b long: node, root (the component's smallest node).
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, sized, small_batches, written
+from .common import components, giving_back, materialize, sized, small_batches, written
 
 
 def shingle_hashes(text: bytes, size: int):
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(prints, "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(giving_back(prints), "doc_id long, fp array<long>")
 
 
 def signed(x: int) -> int:
@@ -177,7 +177,7 @@ def common_shingles(rows: DataFrame, shingle: int, sample: int = 4096, most: int
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["x"])
 
-    counts = few.select(F.col("text").cast("binary")).mapInArrow(sets, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
+    counts = few.select(F.col("text").cast("binary")).mapInArrow(giving_back(sets), "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "x").limit(most).collect()
     return np.array([r["x"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
 
@@ -217,7 +217,7 @@ def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "d", "t", "h", "size", "f", "parity", "head"])
 
     small_batches(rows.sparkSession)
-    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(read, "doc_id long, d long, t long, h binary, size int, f long, parity array<long>, head array<int>")
+    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(giving_back(read), "doc_id long, d long, t long, h binary, size int, f long, parity array<long>, head array<int>")
 
 
 def alike(shingle: int, similarity: float):
@@ -295,7 +295,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         left = texts.join(many, F.col("rep") == F.col("a"), "left").select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.col("text").alias("one"))
         right = texts.select(F.col("rep").alias("b"), F.col("text").alias("two"))
         both = dealt.join(right, "b").join(left, ["a", "block"]).select("a", "b", "one", "two")
-        return written(both.mapInArrow(alike(shingle, similarity), "a long, b long"))
+        return written(both.mapInArrow(giving_back(alike(shingle, similarity)), "a long, b long"))
 
     def upward(links: DataFrame) -> DataFrame:
         """Roots (node, root): nodes of one root are in one group, though not yet all of a group have one root.

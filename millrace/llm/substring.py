@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import give_back, giving_back, materialize, small_batches
 
 #: An odd number and its inverse modulo 2^64, twice: rolling hashes of word sequences.
 BASES = [(0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)), (0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))]
@@ -201,7 +201,12 @@ def _locate(window: int, phrase: int):
                 out += [(doc, h, a + start, b + start) for a, b in merged(at[hit], window)]
         return pd.DataFrame(out, columns=["doc_id", "h", "a", "b"]).astype("int64")
 
-    return locate
+    def run(passages, regions):
+        spans = locate(passages, regions)  # the automaton and its hashes end with the call
+        give_back()
+        return spans
+
+    return run
 
 
 def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases: int = 20_000, task_words: int = 300_000, most_broadcast: int = 64 << 20) -> DataFrame:
@@ -214,7 +219,7 @@ def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases:
 
     small_batches(docs.sparkSession, 200)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    scanned = materialize(texts.mapInArrow(_scan(window, phrase), "doc_id long, h long, n_words long, same binary, phrases array<long>, places array<int>"))
+    scanned = materialize(texts.mapInArrow(giving_back(_scan(window, phrase)), "doc_id long, h long, n_words long, same binary, phrases array<long>, places array<int>"))
     # Copies: of documents of the same words all but the first lose everything, and only the first goes on.
     first = materialize(scanned.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first"))
     repeated = scanned.select("doc_id", "h", "n_words", "same").join(sized(first, 32 * first.count()), "same").where("doc_id > first")
@@ -228,11 +233,11 @@ def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases:
     marks = alone.join(sized(recurring, 16 * n), "phrase").select("doc_id", "h", F.struct(F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), "place").alias("mark"))
     lists = materialize(marks.groupBy("doc_id", "h").agg(F.collect_list("mark").alias("marks")))
     total, rows_ = lists.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)), F.count("*")).first()
-    regions = materialize(texts.join(sized(lists, 16 * total + 24 * rows_), ["doc_id", "h"]).select("doc_id", "h", "text", "marks").mapInArrow(_regions(window, phrase), "shard long, doc_id long, h long, start int, size int, words binary"))
-    rows = regions.select("shard", "doc_id", "start", "words").mapInArrow(_windows(window), "shard long, one long, two long, doc_id long, place int")
+    regions = materialize(texts.join(sized(lists, 16 * total + 24 * rows_), ["doc_id", "h"]).select("doc_id", "h", "text", "marks").mapInArrow(giving_back(_regions(window, phrase)), "shard long, doc_id long, h long, start int, size int, words binary"))
+    rows = regions.select("shard", "doc_id", "start", "words").mapInArrow(giving_back(_windows(window)), "shard long, one long, two long, doc_id long, place int")
     confirmed = rows.groupBy("shard", "one", "two").agg(F.min(F.struct("doc_id", "place")).alias("m"), F.max("doc_id").alias("last")).where("m.doc_id < last")
     owned = confirmed.groupBy("shard", F.col("m.doc_id").alias("doc_id")).agg(F.collect_list("m.place").alias("own"))
-    passages = materialize(regions.join(owned, ["shard", "doc_id"]).select("shard", "doc_id", "start", "size", "words", "own").mapInArrow(_passages(window), "shard long, doc_id long, words binary"))
+    passages = materialize(regions.join(owned, ["shard", "doc_id"]).select("shard", "doc_id", "start", "size", "words", "own").mapInArrow(giving_back(_passages(window)), "shard long, doc_id long, words binary"))
     # A shard that many documents share is streamed by several tasks, each with the shard's automaton.
     salts = materialize(regions.groupBy("shard").agg(F.ceil(F.sum("size") / task_words).cast("int").alias("salts")))
     streams = regions.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts").cast("int")).select("shard", "salt", "doc_id", "h", "start", "words")

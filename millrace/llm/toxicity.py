@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import give_back, materialize, small_batches
+from .common import give_back, giving_back, materialize, small_batches
 
 #: Letters that a word's beginnings are taken of, besides the word itself.
 PREFIXES = (4, 5, 6)
@@ -155,7 +155,7 @@ def score_chain(docs: DataFrame, chain: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(links)))], names=["doc_id", *columns])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(score), "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.42) -> DataFrame:
@@ -177,7 +177,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.42) -
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(keep, StructType([StructField("row", docs.schema)])).select("row.*")
+    return rows.mapInArrow(giving_back(keep), StructType([StructField("row", docs.schema)])).select("row.*")
 
 
 def label_categories(labels: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .embeddings import embedding_links
 from .packing import best_fit_packing
+from .periodic_runs import periodic_runs, with_repeats
+from .prefix_trie import prefix_trie
 from .sentence_pieces import sampled_digests
 from .sharding import histogram_shards
 from .simhash import simhash_components
@@ -70,6 +72,23 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "segment_ends", "position_resets", "doc_ids", "pieces", "starts")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with up to five turns of the first of its hundred, in place of as many of its own."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), lambda c: (c - c % 100, F.crc32(c.cast("string")) % 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .embeddings import embedding_links
 from .packing import best_fit_packing
 from .periodic_runs import periodic_runs, with_repeats
+from .personal_data import KINDS, examples, personal_data
 from .prefix_trie import prefix_trie
 from .sentence_pieces import sampled_digests
 from .sharding import histogram_shards
@@ -72,6 +73,18 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "segment_ends", "position_resets", "doc_ids", "pieces", "starts")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the patterns' spans; spans has the field's besides."""
+    found = personal_data(table(spark, sf_dir, "documents"), examples(spark))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))

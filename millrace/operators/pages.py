@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import price_text
 
-#: Where a page states its price, surest first; the first group holds it.
+#: Where a page states its price, surest first; the first group holds it. The first pattern is for JSON-LD blocks, the others for the page.
 PRICE_PATTERNS = [
-    ("json_ld", r'(?is)<script[^>]*application/ld\+json[^>]*>.*?"price"\s*:\s*"?([\d.,]+)'),
+    ("json_ld", r'(?i)"price"\s*:\s*"?([\d.,]+)'),
     ("meta", r'(?is)<meta[^>]*(?:product:price:amount|og:price:amount)[^>]*content\s*=\s*["\']([^"\']+)'),
     ("itemprop", r'(?is)<[^>]*itemprop\s*=\s*["\']price["\'][^>]*content\s*=\s*["\']([^"\']+)'),
     ("itemprop_text", r'(?is)<[^>]*itemprop\s*=\s*["\']price["\'][^>]*>\s*([^<]+)'),
@@ -24,7 +24,11 @@ def page_price(html: Column) -> Column:
     """Struct of price and the level that gave it; the first level with a number above 0."""
     tried = []
     for name, pattern in PRICE_PATTERNS:
-        value = price_text(F.regexp_replace(F.regexp_extract(html, pattern, 1), r"ر\.س", " "))
+        if name == "json_ld":
+            found = F.get(F.filter(F.transform(json_ld(html), lambda block: F.regexp_extract(block, PRICE_PATTERNS[0][1], 1)), lambda x: x != ""), F.lit(0))
+        else:
+            found = F.regexp_extract(html, pattern, 1)
+        value = price_text(F.regexp_replace(found, r"ر\.س", " "))
         tried.append(F.when(value > 0, F.struct(value.alias("price"), F.lit(name).alias("level"))))
     return F.coalesce(*tried)
 

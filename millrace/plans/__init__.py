@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import queries, records  # noqa: F401  both fill the same registry
+from . import feeds, queries, records  # noqa: F401  all fill the same registry

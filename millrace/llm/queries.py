@@ -117,4 +117,18 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op13_prefix_trie": """
+            WITH t AS (SELECT conv_id AS c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+            own AS (SELECT c, list(m ORDER BY i) AS v FROM t GROUP BY c),
+            h AS (SELECT c, v, c - c % 100 AS hc, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 6 AS h FROM own),
+            made AS (SELECT h.c, list_concat(coalesce(g.v[1:h.h], []), h.v[h.h + 1:]) AS v FROM h LEFT JOIN own g ON g.c = h.hc),
+            d AS (SELECT c, v, len(v) AS n, unnest(range(len(v) + 1)) AS d FROM made),
+            p AS (SELECT c, n, d, CAST(v[1:d] AS VARCHAR) AS k, CASE WHEN d > 0 THEN CAST(v[1:d - 1] AS VARCHAR) END AS pk, CASE WHEN d > 0 THEN length(v[d].x) ELSE 0 END AS chars FROM d),
+            g AS (SELECT k, any_value(pk) AS pk, any_value(d) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY k, d),
+            kids AS (SELECT pk AS k, count(*) AS n_children FROM g WHERE pk IS NOT NULL GROUP BY pk),
+            node AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (k)),
+            below AS (SELECT DISTINCT a.k, b.k AS sub FROM p a JOIN p b ON a.c = b.c AND a.d <= b.d),
+            sums AS (SELECT below.k, count(*) FILTER (n.n_children = 0) AS n_leaves, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens FROM below JOIN node n ON n.k = below.sub GROUP BY below.k)
+            SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, node.n_children, n_leaves, saved_tokens, node.ends_sha256 FROM node JOIN sums ON sums.k = node.k LEFT JOIN node up ON up.k = node.pk""",
     }

@@ -98,10 +98,26 @@ def _solve(k: int, low, high):
     return block
 
 
+#: In how many parts a cell's distances are told.
+QUANTILES = 32
+
+
+def _apart(sample, wanted: int):
+    """At most `wanted` of the sample's vectors, each the farthest from those before it."""
+    import numpy as np
+
+    chosen, near = [0], ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(wanted, len(sample)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
 def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_block: int):
     """The Voronoi join's plan: data sent to groups (g, query_blocks, row, id, v, cell, d), queries (the same), low, high, groups.
 
-    Pivots are a bounded sample; what the driver gathers is a few numbers for each two pivots. For each query cell, the
+    Pivots are far apart in a bounded sample (taken in the order of a hash); what the driver gathers is a few numbers for each
+    two pivots. Groups are formed by what they send: query cells join where they need the same data. For each query cell, the
     k + 1 data vectors nearest to each pivot bound the distance of the k-th best. A data vector is sent to a group of
     query cells only if for one of them neither the triangle inequality at its own pivot nor the bisector between the two
     pivots rules it out. None if there are no rows.
@@ -114,11 +130,15 @@ def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_blo
     if not n:
         return None
     wanted = pivots or min(256, max(32, math.ceil(math.sqrt(n))))
-    sample = {tuple(r["v"]) for r in rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(2 * wanted).select("v").collect()}
-    p = _matrix(sorted(sample)[:wanted], width)
+    sample = {tuple(r["v"]) for r in rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(4 * wanted).select("v").collect()}
+    p = _apart(_matrix(sorted(sample), width), wanted)
     p = np.c_[p, np.sqrt(np.maximum(0, largest - (p * p).sum(axis=1)))]
     apart = np.sqrt(np.maximum(0, (p * p).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * p @ p.T))
     near = materialize(_cells(rows, p, largest, True))
+    filled = near.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d", [k / QUANTILES for k in range(QUANTILES + 1)], 200).alias("q")).collect()
+    count, steps = np.zeros(len(p)), np.full((len(p), QUANTILES + 1), np.inf)
+    for r in filled:
+        count[r["cell"]], steps[r["cell"]] = r["n"], r["q"]
     queries = materialize(_cells(rows.where("asked"), p, largest, False))
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("n") <= k + 1).select("cell", "d").collect()
     reach = {r["cell"]: (r["far"], r["n"]) for r in queries.groupBy("cell").agg(F.max("d").alias("far"), F.count("*").alias("n")).collect()}
@@ -133,14 +153,28 @@ def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_blo
     for r in _gaps(queries, p, largest, apart).collect():
         if r["other"] != r["cell"] and r["gap"] > bound[r["cell"]] + slack:
             low[r["cell"], r["other"]], high[r["cell"], r["other"]] = np.inf, -np.inf
-    # Query cells go to groups of at most query_block queries or one cell, each next to the last one's pivot.
-    group, groups, left, last = {}, [], set(reach), None
+    # Query cells, each next to the last one's pivot, join the group whose data they share most; apart they would send more.
+    def load(lows, highs):
+        part = (steps <= highs[:, None]).mean(axis=1) - (steps < lows[:, None]).mean(axis=1)
+        return float((count * np.maximum(0, part)).sum())
+
+    group, groups, hulls, left, last = {}, [], [], set(reach), None
     while left:
         i = min(left, key=lambda i: (0 if last is None else apart[last][i], i))
-        if not groups or groups[-1] + reach[i][1] > query_block:
+        own, best = load(low[i], high[i]), None
+        for g, (a, b, sends) in enumerate(hulls):
+            if groups[g] + reach[i][1] <= query_block:
+                hull = np.minimum(a, low[i]), np.maximum(b, high[i])
+                together = load(*hull)
+                saved = sends + own - together
+                if saved > 0.1 * together and (best is None or saved > best[0]):
+                    best = (saved, g, (*hull, together))
+        if best is None:
+            best = (0, len(groups), (low[i].copy(), high[i].copy(), own))
             groups.append(0)
-        groups[-1] += reach[i][1]
-        group[i], last = len(groups) - 1, i
+            hulls.append(None)
+        groups[best[1]] += reach[i][1]
+        group[i], hulls[best[1]], last = best[1], best[2], i
         left.remove(i)
     needs = []  # for each data cell and group, joined: the distances to the cell's pivot that a data vector may have
     for g, size in enumerate(groups):

@@ -2,8 +2,9 @@
 
 Lengths above a quarter of a sequence are large. Per cell of a few thousand pieces, the large lengths are sorted and cut
 into groups of equal cardinality; every length counts as its group's longest. That leaves few sizes, so that the fillings
-of a sequence (configurations) can be searched exhaustively; several plans of them are compared. Actual documents then
-take the places of their group, and the small ones go, longest first, where they leave the least room.
+of a sequence (configurations) can be searched for the longest size left; two plans of them are compared, and the better
+one's emptiest sequences are grouped anew. Actual documents then take the places of their group, and the small ones go,
+longest first, where they leave the least room.
 """
 
 from __future__ import annotations
@@ -97,50 +98,43 @@ def configurations(sizes, counts, capacity: int, choose) -> list:
     return plan
 
 
-def by_best_fit(sizes, counts, capacity: int) -> list:
-    """Fillings as best fit makes them of the sizes, the longest first, each where it leaves the least room."""
-    rooms, by_room, bins = 0, {}, []
-    for k in range(len(sizes) - 1, -1, -1):
-        size = int(sizes[k])
-        for _ in range(int(counts[k])):
-            fits = rooms >> size
-            if fits:
-                room = size + (fits & -fits).bit_length() - 1
-                b = by_room[room].pop()
-                if not by_room[room]:
-                    rooms ^= 1 << room
-            else:
-                room, b = capacity, len(bins)
-                bins.append([])
-            bins[b].append(k)
-            by_room.setdefault(room - size, []).append(b)
-            rooms |= 1 << (room - size)
-    return [(tuple(chosen), 1) for chosen in bins]
-
-
-def pack(lengths, capacity: int, groups: int = 512):
+def grouped(lengths, capacity: int, width: int, choose) -> tuple:
+    """One plan over groups of `width` large lengths: sequence numbers and how many. Groups that count alike are one size of the search."""
+    import numpy as np
+
+    large = np.flatnonzero(lengths > capacity // 4)
+    large = large[np.argsort(lengths[large], kind="stable")]
+    if not len(large):
+        return substituted(lengths, large, large, large, [], capacity)
+    stops = np.arange(len(large), 0, -width)[::-1]  # the first group may be smaller, so that the longest are grouped fully
+    counted = np.repeat(lengths[large[stops - 1]], np.diff(np.r_[0, stops]))  # each length counts as its group's longest
+    starts = np.flatnonzero(np.diff(counted, prepend=-1))
+    plan = configurations(counted[starts], np.diff(np.r_[starts, len(large)]), capacity, choose)
+    return substituted(lengths, large, starts, np.r_[starts[1:], len(large)], plan, capacity)
+
+
+def pack(lengths, capacity: int, groups: int = 4096, rounds: int = 4):
     """Sequence number and offset of each length (numpy arrays), all within one task's cell.
 
-    The configurations are optimised by comparing plans: over at most `groups` sizes the fullest fillings and the largest
-    that fit, and over groups of equal lengths alone (no rounding) those of best fit. Each plan is carried through to the
-    small lengths, and the one with the fewest sequences holds.
+    Large lengths are put in groups of one or more, at most `groups` of them, and the plans of the fullest fillings and of the
+    largest that fit are carried through to the small lengths. The better one is revised: its emptiest sequences are taken
+    apart and grouped anew, in groups of one and two, as long as that saves some.
     """
     import numpy as np
 
-    large = np.flatnonzero(lengths > capacity // 4)
-    large = large[np.argsort(lengths[large], kind="stable")]
-    width = max(1, -(-len(large) // groups))
-    cuts = np.r_[0, np.arange(len(large) % width or width, len(large), width)] if len(large) else np.zeros(0, np.int64)
-    equal = np.flatnonzero(np.diff(lengths[large], prepend=-1)) if len(large) else cuts
-    plans = [(equal, by_best_fit)] + [(cuts, lambda s, n, c, f=f: configurations(s, n, c, f)) for f in (fullest, largest)]
-    best = None
-    for starts, plan in plans:
-        stops = np.r_[starts[1:], len(large)].astype(np.int64)
-        sizes = lengths[large[stops - 1]] if len(large) else np.zeros(0, np.int64)  # each group counts as its longest
-        found = substituted(lengths, large, starts, stops, plan(sizes, stops - starts, capacity) if len(large) else [], capacity)
-        if best is None or found[1] < best[1]:
-            best = found
-    bin_of = best[0]
+    width = max(1, -(-int((lengths > capacity // 4).sum()) // groups))
+    bin_of, used = min((grouped(lengths, capacity, width, f) for f in (fullest, largest)), key=lambda found: found[1])
+    for part in range(rounds):
+        fill = np.bincount(bin_of, weights=lengths, minlength=used)
+        if used <= -(-int(lengths.sum()) // capacity):
+            break
+        loose = np.argsort(fill, kind="stable")[: max(2, used * (part + 1) // (rounds + 1))]
+        again = np.flatnonzero(np.isin(bin_of, loose))
+        found, n = min((grouped(lengths[again], capacity, w, f) for w in (1, 2) for f in (fullest, largest)), key=lambda x: x[1])
+        if n < len(loose):
+            kept = np.cumsum(~np.isin(np.arange(used), loose)) - 1
+            bin_of, used = kept[bin_of], used - len(loose) + n
+            bin_of[again] = used - n + found
     by_bin = np.argsort(bin_of, kind="stable")
     ends = np.cumsum(lengths[by_bin])
     begins = ends - lengths[by_bin]

@@ -36,6 +36,11 @@ UNIT_WORDS = (
 )
 
 
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _found(quantity: Column, unit: Column, method: str, confidence: float, when: Column) -> Column:
     return F.when(when, F.struct(quantity.alias("quantity"), F.nullif(unit, F.lit("")).alias("unit"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence")))
 
@@ -43,28 +48,37 @@ def _found(quantity: Column, unit: Column, method: str, confidence: float, when:
 def quantity(text: Column) -> Column:
     """Struct of quantity, unit, method and confidence.
 
-    The first that applies: number and unit (commas go, so that 2,5 kg is 25: `number_smart` reads decimal commas), fraction, middle of a range, the quantity of a triple (quantity, price, total
-    that agree), an integer from 1 to 10000 at the end; else nothing, with confidence 0.
+    The first that applies: number and unit (a lone comma is a decimal one), fraction, middle of a range, the quantity of a triple
+    (quantity, price, total that agree), an integer from 1 to 10000 at the end; else nothing, with confidence 0. Each
+    pattern runs once, and only over texts that hold a digit.
     """
-    none = F.lit("")
-    explicit = rf"(?iuU)(?<!\d)(\d+(?:[.,]\d+)?)\s*({UNIT_WORDS})(?!\w)"
-    fraction = rf"(?iuU)(\d+)\s*/\s*(\d+)\s*({UNIT_WORDS})?"
-    span = rf"(?iuU)(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*({UNIT_WORDS})?"
-    trailing = F.regexp_extract(text, r"(?<!\d)(\d{1,5})(?!\d|[.,]\d)\s*$", 1).try_cast("double")
-    top, bottom = (F.regexp_extract(text, fraction, k).try_cast("double") for k in (1, 2))
-    low, high = (number_plain(F.regexp_extract(text, span, k)) for k in (1, 2))
-    all_ = numbers(text)
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - 2, F.lit(1))), lambda k: F.slice(all_, k, 3))
-    agree = F.filter(triples, lambda t: (F.size(t) == 3) & (t[1] > 0) & (t[2] > t[1]) & integerish(F.try_divide(t[2], t[1])) & (F.abs(F.try_divide(t[2], t[1]) - t[0]) < 0.01))
-    reverse = F.try_element_at(agree, F.lit(1))
-    return F.coalesce(
-        _found(number_plain(F.regexp_extract(text, explicit, 1)), F.regexp_extract(text, explicit, 2), "explicit_unit", 0.95, text.rlike(explicit)),
-        _found(F.try_divide(top, bottom), F.regexp_extract(text, fraction, 3), "fraction", 0.85, bottom > 0),
-        _found((low + high) / 2, F.regexp_extract(text, span, 3), "range_midpoint", 0.70, high >= low),
-        _found(F.bround(F.try_divide(reverse[2], reverse[1])), none, "reverse_calc", 0.80, reverse.isNotNull()),
-        _found(trailing, none, "trailing_integer", 0.45, trailing.between(1, 10000)),
-        _found(F.lit(None).cast("double"), none, "none", 0.0, F.lit(True)),
-    )
+    none, amount = F.lit(""), r"\d+(?:[.,]\d+)?"
+    explicit = rf"(?iuU)(?<!\d){amount}\s*(?:{UNIT_WORDS})(?!\w)"
+    fraction = rf"(?iuU)\d+\s*/\s*\d+\s*(?:{UNIT_WORDS})?"
+    span = rf"(?iuU){amount}\s*[-–]\s*{amount}\s*(?:{UNIT_WORDS})?"
+
+    def with_unit(m: Column) -> Column:
+        return _found(number_smart(F.regexp_extract(m, "(?U)^" + amount, 0)), F.regexp_replace(m, rf"(?U)^{amount}\s*", ""), "explicit_unit", 0.95, m != "")
+
+    def divided(m: Column) -> Column:
+        top, bottom = (F.regexp_extract(m, r"(?U)^(\d+)\s*/\s*(\d+)", k).try_cast("double") for k in (1, 2))
+        return _found(F.try_divide(top, bottom), F.regexp_replace(m, r"(?U)^\d+\s*/\s*\d+\s*", ""), "fraction", 0.85, bottom > 0)
+
+    def middle(m: Column) -> Column:
+        low, high = (number_plain(F.regexp_extract(m, rf"(?U)^({amount})\s*[-–]\s*({amount})", k)) for k in (1, 2))
+        return _found((low + high) / 2, F.regexp_replace(m, rf"(?U)^{amount}\s*[-–]\s*{amount}\s*", ""), "range_midpoint", 0.70, high >= low)
+
+    def agreeing(all_: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - 2, F.lit(1))), lambda k: F.slice(all_, k, 3))
+        agree = F.filter(triples, lambda t: (F.size(t) == 3) & (t[1] > 0) & (t[2] > t[1]) & integerish(F.try_divide(t[2], t[1])) & (F.abs(F.try_divide(t[2], t[1]) - t[0]) < 0.01))
+        return once(F.try_element_at(agree, F.lit(1)), lambda t: _found(F.bround(F.try_divide(t[2], t[1])), none, "reverse_calc", 0.80, t.isNotNull()))
+
+    trailing = once(F.regexp_extract(text, r"(?<!\d)(\d{1,5})(?!\d|[.,]\d)\s*$", 1).try_cast("double"), lambda n: _found(n, none, "trailing_integer", 0.45, n.between(1, 10000)))
+    found = F.coalesce(
+        once(F.regexp_extract(text, explicit, 0), with_unit), F.when(text.contains("/"), once(F.regexp_extract(text, fraction, 0), divided)), F.when(text.rlike("[-–]"), once(F.regexp_extract(text, span, 0), middle)),
+        once(numbers(text), agreeing), trailing,
+    )
+    return F.coalesce(F.when(text.rlike(r"(?U)\d"), found), _found(F.lit(None).cast("double"), none, "none", 0.0, F.lit(True)))
 
 
 def price_text(text: Column) -> Column:
@@ -105,3 +119,17 @@ def line_total(quantity: Column, price: Column) -> Column:
 def score_confidence(score: Column) -> Column:
     """Confidence of a row's score: 0.55 and 0.08 a point, at most 0.99."""
     return F.least(F.lit(0.99), F.lit(0.55) + score * 0.08)
+
+
+def price_digits(text: Column) -> Column:
+    """A price above 0 of the digits and points of a text, all else dropped; null where that isn't a number."""
+    number = F.regexp_replace(text, r"[^0-9.]", "").try_cast("double")
+    return F.when(number > 0, number)
+
+
+def utc(moment: Column, zone: Column | None = None) -> Column:
+    """A moment as UTC: a text with an offset by its offset, one without in `zone` or else in UTC; null where it is no moment."""
+    text = F.trim(moment.cast("string"))
+    marked = text.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$") & text.rlike(r"\d:\d")
+    naive = F.try_to_timestamp(F.regexp_replace(text, "T", " "))
+    return F.when(marked, F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone())).otherwise(naive if zone is None else F.to_utc_timestamp(naive, zone))

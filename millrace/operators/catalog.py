@@ -110,3 +110,26 @@ def grid(df: DataFrame, text: str | None = None, category: str | None = None, pr
 def integrity(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Children whose parent is missing; a null key refers to nothing."""
     return children.where(F.col(key).isNotNull()).join(parents, F.col(key) == F.col(parent_key), "left_anti")
+
+
+def approved_view(candidates: DataFrame, session: str | None = None) -> DataFrame:
+    """Approved products in nine columns: corrections win, and a product without a name has the first 120 characters of its raw text."""
+    rows = approved_products(candidates, session)
+    named = F.coalesce(F.nullif(effective("corrected_name", "product_name", True), F.lit("")), F.substring("raw_text", 1, 120))
+    texts = [effective(f"corrected_{f}", f, True).alias(f) for f in ("category", "brand", "unit", "description")]
+    numbers = [effective(f"corrected_{f}", f, False).alias(f) for f in ("quantity", "price")]
+    return rows.select(F.col("id").alias("candidate_id"), named.alias("product_name"), *texts, *numbers, F.col("raw_text").alias("source_line"))
+
+
+def rules(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """Active rules (rule_type, rule_value, weight, is_active), of one type if one is given, the heaviest first."""
+    active = df.where(F.col("is_active"))
+    return (active if kind is None else active.where(F.col("rule_type") == kind)).orderBy(F.desc_nulls_last("weight"), "rule_type", "rule_value")
+
+
+def product_export(products: DataFrame, brands: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
+    """Products with the names of their brand, category and source, null where there is none: thirteen columns in the order of ids."""
+    out = products
+    for name, dimension, key in (("brand", brands, "scraper_brand_id"), ("category", categories, "scraper_category_id"), ("source", sources, "source_id")):
+        out = out.join(dimension.select(F.col("id").alias(f"_{name}"), F.col("name").alias(name)), F.col(key) == F.col(f"_{name}"), "left")
+    return out.select("id", "external_id", "sku", "name", "price", "source_url", "is_synced", "last_scraped_at", "description", "specifications", "brand", "category", "source").orderBy("id")

@@ -64,3 +64,13 @@ def breadcrumb(crumbs: Column, from_end: int = 1) -> Column:
 def sitemap_urls(xml: Column, holds: str = "") -> Column:
     """Addresses of a sitemap that hold a text, in order, each once."""
     return F.array_distinct(F.filter(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)), lambda u: u.contains(holds)))
+
+
+#: Where a listing says how many pages it has; the first group holds the number.
+PAGE_COUNTS = [r'data-(?:last-page|total-pages|pages)\s*=\s*["\']?(\d+)', r'href\s*=\s*["\'][^"\']*page=(\d+)', r'"(?:totalPages|last_page|total_pages)"\s*:\s*(\d+)']
+
+
+def page_count(html: Column) -> Column:
+    """The most pages that a listing speaks of, in attributes, links or scripts; 1 if it doesn't."""
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in PAGE_COUNTS])
+    return F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(found, lambda n: n.try_cast("int"))), F.lit(1)))

@@ -192,3 +192,17 @@ def patched(current: DataFrame, patch: DataFrame, key: str, fields: list[str]) -
 def soft_deleted(current: DataFrame, ids: DataFrame, key: str, at: Column) -> DataFrame:
     hit = ids.select(F.col(key).alias("_k")).distinct()
     return current.join(hit, current[key] == F.col("_k"), "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_k").isNotNull(), at))).drop("_k")
+
+
+def ensured(current: DataFrame, wanted: DataFrame, scope: str, slug: str, id_: str = "id") -> DataFrame:
+    """The snapshot with a live row for each wanted (scope, slug), and the ids it has now: current rows, then new ones.
+
+    A row that is deleted (deleted_at) doesn't count as there. A wanted row that is new takes the other columns that it
+    states, the first by value of several; null scopes and blank slugs want nothing.
+    """
+    live = current.where(F.col("deleted_at").isNull()) if "deleted_at" in current.columns else current
+    asked = wanted.where(F.col(scope).isNotNull() & (F.trim(slug) != "")).join(live.select(scope, slug), [scope, slug], "left_anti")
+    rest = [c for c in wanted.columns if c not in (scope, slug)]
+    new = asked.groupBy(scope, slug).agg(*[F.min(c).alias(c) for c in rest])
+    rows = new.select(*[F.col(c) if c in wanted.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns if c != id_])
+    return with_next_ids(current, rows, [scope, slug], id_)

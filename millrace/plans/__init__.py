@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import feeds, queries, records  # noqa: F401  all fill the same registry
+from . import catalogs, feeds, flows, queries, records  # noqa: F401  all fill the same registry

@@ -34,12 +34,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents of which no word is left go, and n_chars follows the text.
     """
-    cut = remove_repeats(docs.withColumn("text_before", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("text_before"))
-    left = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    cut = remove_repeats(docs.select(F.struct("*").alias("row"), "doc_id", "text"))
+    left = cut.where("n_removed = 0 or n_removed < n_words")
+    lost = F.col("n_removed") > 0
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[F.when(lost, changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

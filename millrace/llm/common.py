@@ -46,9 +46,9 @@ def sized(df: DataFrame, width: int, most: int = 64 << 20) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what a Python worker holds at once: at most so many rows and 8 MB to an Arrow batch."""
+    """Bound what a Python worker and the buffers beside the heap hold at once: at most so many rows and 2 MB to an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)
 
 
 def give_back() -> None:

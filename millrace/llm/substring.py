@@ -209,7 +209,7 @@ def _locate(window: int, phrase: int):
     return run
 
 
-def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases: int = 20_000, task_words: int = 300_000, most_broadcast: int = 64 << 20) -> DataFrame:
+def removed(docs: DataFrame, window: int = 50, phrase: int = 25, shard_phrases: int = 5_000, task_words: int = 300_000, most_broadcast: int = 64 << 20) -> DataFrame:
     """Spans of words to remove from documents (doc_id, text): doc_id, h (xxhash64 of the text), spans (array of a, b).
 
     See remove_repeats. Tables of more than `most_broadcast` bytes are joined by a shuffle, smaller ones by a broadcast.

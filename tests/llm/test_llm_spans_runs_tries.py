@@ -285,3 +285,19 @@ def test_op11_query(spark):
         shown = [f"{private.KINDS[k]}:{a}:{b}" for a, k, b in base]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in base) for x in range(4)]
         assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(","))
+
+
+# matrices
+
+
+def test_written_matrices(spark, tmp_path):
+    """Rows of id matrices come back from their files as they were, all of one size."""
+    import public_tokenizers
+
+    from millrace.llm import token_binary
+
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "tail " * 300)], "doc_id long, text string")
+    rows = token_binary.token_matrices(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=64)
+    token_binary.write_matrices(rows, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect())) and {len(r.ids) for r in back.collect()} == {128}

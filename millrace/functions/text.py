@@ -28,15 +28,32 @@ def slugify(name: Column, default: str = "product", most: int = 500) -> Column:
     return F.when(slug == "", default).otherwise(slug)
 
 
-def ascii_slug(name: Column) -> Column:
-    """Slug of ASCII letters and digits; accents are dropped by decomposition, other letters go."""
-    @F.pandas_udf("string")
-    def fold(names):
-        import unicodedata
+#: Letters that become several: Arabic ones, and Latin ones that don't decompose. Then single Arabic letters, marks (which go) and digits.
+SEVERAL = {"ث": "th", "خ": "kh", "ذ": "dh", "ش": "sh", "غ": "gh", "ؤ": "w", "ئ": "y", "چ": "ch", "ژ": "zh", "ﻻ": "la", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ø": "o", "ł": "l", "đ": "d"}
+ARABIC_LETTERS = ("اأإآٱبتجحدرزسصضطظعفقكلمنهويىةءپگکی", "aaaaabtjhdrzssdtzafqklmnhwyah" + "'" + "pgky")
+ARABIC_MARKS = "".join(map(chr, [*range(0x064B, 0x0660), 0x0640, 0x0670]))
+ARABIC_DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+
 
-        return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+def _decomposed() -> tuple[str, str]:
+    """Letters and signs whose compatibility form is one plain letter or digit under marks, and what it is: a table by rule."""
+    import unicodedata
 
-    return F.regexp_replace(F.regexp_replace(F.lower(fold(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    found = [(chr(c), plain[0]) for c in [*range(0xA0, 0x0250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2190), *range(0xFF01, 0xFF5F)] if (plain := [x for x in unicodedata.normalize("NFKD", chr(c)).lower() if x.isascii() and x.isalnum()]) and len(plain) == 1 and not unicodedata.combining(chr(c))]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def ascii_slug(name: Column) -> Column:
+    """Slug of ASCII letters and digits: accents are dropped, Arabic is written in Latin letters, letters of other scripts go.
+
+    Letters that become several come first, then tables of single ones; vowel marks and the lengthening stroke go.
+    """
+    out = F.lower(name)
+    for letter, plain in SEVERAL.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    letters, plain = _decomposed()
+    out = F.translate(out, ARABIC_LETTERS[0] + ARABIC_DIGITS[0] + letters + ARABIC_MARKS, ARABIC_LETTERS[1] + ARABIC_DIGITS[1] + plain)
+    return F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("'"), F.lit("")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def nfkc(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, markup, pages, sheets, structured
+from ..operators import layout, markup, orchestration, pages, sheets, structured
 from .queries import query, read
 
 
@@ -165,3 +165,35 @@ def page_price_levels(spark, sf_dir):
     ]
     found = part.select("id", pages.page_price(F.coalesce(*[F.when(F.col("id") % 9 == k, f) for k, f in enumerate(forms)])).alias("f"))
     return found.select("id", F.round("f.price", 2).alias("price"), F.col("f.level").alias("level"))
+
+
+def order_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tables and blocks of one document an order: a table of products, a list behind a table of banks, a letter, a lone block, totals alone."""
+    r = numbered_lines(spark, sf_dir).withColumn("form", F.col("k") % 5)
+    line = text(F.col("q"), " pcs steel pipe P", F.col("part"))
+    amount = F.floor("p").cast("string")
+    body = r.where("form = 0").select("k", F.lit(0).alias("table_no"), F.col("rn").alias("row_no"), F.lit(False).alias("is_header"), F.array(line, F.lit(""), amount, F.lit("9")).alias("cells"))
+    one = r.select("k", "form").distinct()
+    heads = one.where("form in (0, 1)").select("k", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.lit(True).alias("is_header"), F.when(F.col("form") == 0, F.array(F.lit("Item"), F.lit("x"), F.lit("Unit Price"))).otherwise(F.array(F.lit("Terms"), F.lit("y"))).alias("cells"))
+    banks = one.where("form = 1").select("k", F.lit(0).alias("table_no"), F.lit(1).alias("row_no"), F.lit(False).alias("is_header"), F.array(F.lit("iban"), F.lit("ours")).alias("cells"))
+    listed = r.where("form in (1, 3)").groupBy("k", "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(" ", line, amount, F.lit("9")).alias("l")))), lambda x: x["l"]), "\n").alias("list"))
+    blocks = listed.where("form = 1").select("k", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("Invoice").alias("t")), F.struct(F.lit(1).alias("n"), F.lit(" ").alias("t")), F.struct(F.lit(5).alias("n"), F.col("list").alias("t")), F.struct(F.lit(6).alias("n"), F.lit("payment terms 5 pcs pipe").alias("t")))).alias("b"))
+    lone = listed.where("form = 3").select("k", F.struct(F.lit(0).alias("n"), F.concat(F.lit("qty unit price item\n"), F.col("list")).alias("t")).alias("b"))
+    letters = one.where("form = 2").select("k", F.struct(F.lit(0).alias("n"), F.lit("Dear friend, 12 kg steel pipe went by road").alias("t")).alias("b"))
+    totals = one.where("form = 4").select("k", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("qty price item").alias("t")), F.struct(F.lit(1).alias("n"), F.lit("grand total 5 pcs pipe 9 9").alias("t")))).alias("b"))
+    every = blocks.unionByName(lone).unionByName(letters).unionByName(totals).select("k", F.col("b.n").alias("block_no"), F.col("b.t").alias("text"))
+    return body.unionByName(heads).unionByName(banks), every
+
+
+@query(f"SELECT DISTINCT k, q || ' pcs steel pipe P' || part || CASE WHEN k % 5 = 0 THEN ' | ' || floor(p)::BIGINT || ' | 9' ELSE ' ' || floor(p)::BIGINT || ' 9' END AS product_name, q::DOUBLE AS quantity, 'pc' AS unit, floor(p) AS price FROM {LINES} WHERE k % 5 IN (0, 1, 3)")
+def orchestrated_products(spark, sf_dir):
+    """Products of documents by detection, regions and rows; letters leave early, and a lone block is the fallback."""
+    return orchestration.extracted_products(*order_documents(spark, sf_dir), ["k"]).select("k", "product_name", "quantity", "unit", "price")
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0 END AS region, CASE o_orderkey % 5 WHEN 0 THEN 'product_table' ELSE 'product_list' END AS region_type FROM orders WHERE o_orderkey % 5 <> 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 5 <> 1 UNION ALL SELECT o_orderkey, 2, 'product_list' FROM orders WHERE o_orderkey % 5 = 1 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def product_regions(spark, sf_dir):
+    """The regions of documents that hold products, tables before blocks, with the fallback."""
+    tables, blocks = order_documents(spark, sf_dir)
+    found = orchestration.regions(tables, blocks, ["k"], orchestration.detected(tables, blocks, ["k"]))
+    return found.where(F.col("region_type").isin(orchestration.PRODUCT_REGIONS)).select("k", "region", "region_type")

@@ -211,7 +211,21 @@ def doc_type_vote(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", documents.document_type(F.col("html")).alias("doc_type"))
 
 
-@query()
+def _labels_sql() -> str:
+    d = documents
+    units = "(mm|cm|m|kg|g|pcs|units?|pc|nos?|مل|سم|كج|قطعة)?"
+    bare = d.NOTES.replace("(?iU)", "").removesuffix(r"\b")
+    return f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM l),
+f AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: list_contains({d.HEADER_WORDS}, x))) AS heads, len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9]+'))) AS digits, len(list_filter(ws, lambda x: list_contains({d.PRODUCT_WORDS}, x))) AS known,
+    len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9]+{units}'))) > 0 AS number, regexp_matches(t, '[0-9]') AS digit FROM w),
+s AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]+\\s+[\\p{{L}}\\p{{N}}_]') THEN 3 ELSE 0 END + CASE WHEN known >= 2 THEN 3 WHEN known = 1 THEN 1 ELSE 0 END + CASE WHEN number THEN 2 ELSE 0 END + CASE WHEN digit THEN 1 ELSE 0 END AS score FROM f),
+r AS (SELECT doc_id, CASE WHEN t = '' THEN 'ignore:1.0' WHEN heads >= 2 AND digits <= 1 AND n <= 12 THEN 'table_header:0.85' WHEN regexp_matches(t, '{d.TOTAL}') THEN 'total:0.85' WHEN regexp_matches(t, '{d.BANK}') THEN 'bank_info:0.88' WHEN regexp_matches(t, '{d.PAYMENT}') THEN 'payment_info:0.82'
+    WHEN regexp_matches(t, '(?i){bare}([^\\p{{L}}\\p{{N}}_]|$)') THEN 'notes:0.78' WHEN n < 3 AND NOT digit THEN 'metadata:0.60' WHEN score >= 3 THEN 'product_row:' || least(0.99, 0.55 + 0.08 * score) ELSE 'ignore:0.60' END AS x FROM s),
+c AS (SELECT doc_id, split_part(x, ':', 1) AS label, split_part(x, ':', 2)::DOUBLE AS confidence FROM r)
+SELECT doc_id, label, count(*) AS n, count(*) FILTER (confidence < {d.REVIEW_BELOW}) AS to_review, round(max(confidence), 4) AS best FROM c GROUP BY 1, 2"""
+
+
+@query(_labels_sql())
 def row_classify(spark, sf_dir):
     rows = documents.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text")
     found = rows.select("doc_id", documents.row_label(F.col("line")).alias("r"))
@@ -261,9 +275,20 @@ def category_infer(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", documents.category(F.concat_ws(" ", "p_name", "p_type"), METALS).alias("category"))
 
 
-@query("""SELECT doc_id, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 500) AS s FROM documents)""")
+SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (SELECT doc_id, substr({SLUG}, 1, 500) AS s FROM documents)")
 def slugify_unicode(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
+    """Slugs of whole texts; the feature keeps 500 characters of a slug."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(replace(lower(strip_accents(replace(text, 'ß', 'ss'))), 'مضخة', 'mdkhh'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'مضخة ' ELSE '' END || text AS text FROM documents)")
+def slugify_ascii(spark, sf_dir):
+    """Slugs in ASCII of whole texts in four languages, some with a word of Arabic."""
+    said = F.concat(F.when(F.col("doc_id") % 2 == 0, "مضخة ").otherwise(""), "text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.ascii_slug(said)).alias("slug_md5"))
 
 
 @query("SELECT page_id, regexp_replace(list_last(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')), '\\.[A-Za-z0-9]+$', '') AS slug, nullif(regexp_extract(url, '/[a-z][a-z]/([0-9]+)', 1), '') AS id FROM pages")
@@ -386,9 +411,11 @@ def batch_number(spark, sf_dir):
     return found.groupBy("l_suppkey", "batch").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN a > 0.70 * (a + l) THEN 'ar' WHEN a > 0.20 * (a + l) THEN 'mixed' ELSE 'en' END AS language FROM (SELECT doc_id, length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents)")
+@query("SELECT doc_id, CASE WHEN a > 0.70 * (a + l) THEN 'ar' WHEN a > 0.20 * (a + l) THEN 'mixed' ELSE 'en' END AS language FROM (SELECT doc_id, length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM (SELECT doc_id, text || repeat(' مضخة', CASE doc_id % 3 WHEN 0 THEN n_chars WHEN 1 THEN n_chars // 8 ELSE 0 END) AS text FROM documents))")
 def language_detect(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+    """Texts with much, some or no Arabic behind them."""
+    arabic = F.expr("repeat(' مضخة', CAST(CASE doc_id % 3 WHEN 0 THEN n_chars WHEN 1 THEN n_chars DIV 8 ELSE 0 END AS INT))")
+    return read(spark, sf_dir, "documents").select("doc_id", text.language(F.concat("text", arabic)).alias("language"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CASE WHEN l_quantity > 0 THEN round_even(l_extendedprice / (l_extendedprice / l_quantity), 0) END AS quantity FROM lineitem")
@@ -406,10 +433,15 @@ def foreign_keys(spark, sf_dir):
     return lines.join(orphans, ["l_orderkey", "l_linenumber"], "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("keys"))
 
 
-@query("SELECT turn % 2 AS side, round(least(3.0, 0.5 * count(*)), 4)::DOUBLE AS weight, count(*) > 0 AS is_active FROM conversations GROUP BY 1")
+STEP = "CASE WHEN (conv_id + turn) % 3 = 0 OR conv_id % 7 < 2 THEN -0.3 ELSE 0.5 END"
+
+
+@query(f"""WITH w AS (SELECT turn % 2 AS side, list_reduce(list_prepend(0.0::DOUBLE, list(({STEP})::DOUBLE ORDER BY conv_id, turn)), lambda w, s: greatest(0.0, least(3.0, w + s))) AS weight FROM conversations GROUP BY 1)
+SELECT side, round(weight, 4) AS weight, weight > 1e-9 AS is_active FROM w""")
 def clamped_weights(spark, sf_dir):
-    events = read(spark, sf_dir, "conversations").select((F.col("turn") % 2).alias("side"), F.struct("conv_id", "turn").alias("seq"), F.lit(0.5).alias("step"))
-    return upserts.folded(events, "side", "seq").select("side", F.round("weight", 4).alias("weight"), "is_active")
+    """Promotions and demotions of two keys in order, clamped after each."""
+    events = read(spark, sf_dir, "conversations").select((F.col("turn") % 2).alias("side"), F.struct("conv_id", "turn").alias("seq"), F.expr(STEP).cast("double").alias("step"))
+    return upserts.folded(events, "side", "seq").select("side", F.round("weight", 4).alias("weight"), (F.col("weight") > 1e-9).alias("is_active"))
 
 
 @query("SELECT n_nationkey, 'INSERT INTO nation VALUES (' || n_nationkey || ', ' || '''' || replace(n_name, '''', '''''') || '''' || ');' AS statement FROM nation")

@@ -102,3 +102,23 @@ def test_script_lists(spark):
 def test_price_of_a_later_script_is_not_json_ld(spark):
     page = '<script type="application/ld+json">{"name": "n"}</script><script>{"price": 3}</script>'
     assert spark.createDataFrame([(page,)], "html string").select(pages.page_price(F.col("html")).alias("p")).first().p.level == "script"
+
+
+def test_orchestration(spark):
+    """Detection, regions with their fallback, and products, for tables and blocks together."""
+    from millrace.operators import orchestration
+
+    tables = [
+        ("a", 0, 0, True, ["Item", "Qty", "Price"]), ("a", 0, 1, False, ["4 pcs steel pipe", "", "25 100"]), ("a", 0, 2, False, ["", " ", ""]), ("a", 1, 0, True, ["x", "y"]), ("a", 1, 1, False, ["iban", "5 pcs valve"]),
+        ("b", 0, 0, False, ["n", "1"]), ("b", 0, 1, False, ["m", "2"]), ("e", 0, 0, True, ["Terms", "z"]),
+    ]
+    blocks = [("a", 0, "Quotation qty price"), ("a", 1, ""), ("a", 2, "5 pcs brass valve 9 45\nwith handle inside"), ("a", 3, "7 pcs pump 9 9"), ("a", 4, "Note: 3 pcs pipe"), ("c", 0, "a letter without any"), ("d", 0, "qty unit price\n2 pcs steel rod 3 6"), ("e", 0, None), (None, 0, "qty price 5 pcs pipe")]
+    t = spark.createDataFrame(tables, "doc string, table_no int, row_no int, is_header boolean, cells array<string>")
+    b = spark.createDataFrame(blocks, "doc string, block_no int, text string")
+    told = {r.doc: r.contains_products for r in orchestration.detected(t, b, ["doc"]).collect()}
+    assert told == {"a": True, "b": True, "c": False, "d": True, "e": False, None: True}
+    found = [(r.doc, r.region, r.table_no, r.first_block, r.last_block, r.region_type) for r in orchestration.regions(t, b, ["doc"], orchestration.detected(t, b, ["doc"])).where("doc is not null").orderBy("doc", "region").collect()]
+    assert found == [("a", 0, 0, None, None, "product_table"), ("a", 1, 1, None, None, "bank_info"), ("a", 2, None, 0, 0, "document_header"), ("a", 3, None, 2, 3, "product_list"), ("a", 4, None, 4, 4, "notes"), ("b", 0, 0, None, None, "product_table"), ("d", 0, None, 0, 0, "product_list")]
+    products = sorted((r.doc, r.product_name, r.quantity, r.price, r.description) for r in orchestration.extracted_products(t, b, ["doc"]).collect())
+    assert products == [("a", "4 pcs steel pipe | 25 100", 4.0, 25.0, None), ("a", "5 pcs brass valve 9 45", 5.0, 9.0, "with handle inside"), ("a", "7 pcs pump 9 9", 7.0, 9.0, None), ("d", "2 pcs steel rod 3 6", 2.0, 3.0, None)]
+    assert orchestration.extracted_products(t.where("false"), b.where("false"), ["doc"]).count() == 0

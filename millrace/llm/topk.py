@@ -45,7 +45,11 @@ def _cells(rows: DataFrame, pivots, largest: float, data: bool) -> DataFrame:
 
 
 def _gaps(queries: DataFrame, pivots, largest: float, apart) -> DataFrame:
-    """For query cells and pivots the least distance of the cell's queries to the bisector between the two: cell, other, gap."""
+    """For query cells and data pivots the least distance of the cell's queries to the pivot's side: cell, other, gap.
+
+    A data vector of a cell is nearer to its own pivot than to the one nearest to the query, so that it lies beyond the
+    bisector between the two.
+    """
     def gaps(batches):
         import numpy as np
         import pyarrow as pa
@@ -54,12 +58,12 @@ def _gaps(queries: DataFrame, pivots, largest: float, apart) -> DataFrame:
             d = _lifted(b, pivots, largest, False)
             if not len(d):
                 continue
-            cell = d.argmin(axis=1)
-            gap = (d**2 - d[np.arange(len(d)), cell][:, None] ** 2) / np.maximum(2 * apart[cell], 1e-300)
+            cell, near = b.column(3).to_numpy(), d.argmin(axis=1)
+            gap = (d**2 - d[np.arange(len(d)), near][:, None] ** 2) / np.maximum(2 * apart[near], 1e-300)
             least = {i: gap[cell == i].min(axis=0) for i in np.unique(cell)}
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(least), len(pivots)).astype("int32")), pa.array(np.tile(np.arange(len(pivots)), len(least)).astype("int32")), pa.array(np.concatenate(list(least.values())))], names=["cell", "other", "gap"])
 
-    return queries.select("row", "id", "v").mapInArrow(gaps, "cell int, other int, gap double").groupBy("cell", "other").agg(F.min("gap").alias("gap"))
+    return queries.select("row", "id", "v", "cell").mapInArrow(gaps, "cell int, other int, gap double").groupBy("cell", "other").agg(F.min("gap").alias("gap"))
 
 
 def _solve(k: int, low, high):
@@ -118,7 +122,8 @@ def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_blo
 
     Pivots are far apart in a bounded sample (taken in the order of a hash); what the driver gathers is a few numbers for each
     two pivots. Groups are formed by what they send: query cells join where they need the same data. For each query cell, the
-    k + 1 data vectors nearest to each pivot bound the distance of the k-th best. A data vector is sent to a group of
+    k + 1 data vectors nearest to each pivot bound the distance of the k-th best. Queries have cells of their own, around the
+    pivots as queries, since a query and the same vector as data are apart. A data vector is sent to a group of
     query cells only if for one of them neither the triangle inequality at its own pivot nor the bisector between the two
     pivots rules it out. None if there are no rows.
     """
@@ -132,26 +137,32 @@ def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_blo
     wanted = pivots or min(256, max(32, math.ceil(math.sqrt(n))))
     sample = {tuple(r["v"]) for r in rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(4 * wanted).select("v").collect()}
     p = _apart(_matrix(sorted(sample), width), wanted)
-    p = np.c_[p, np.sqrt(np.maximum(0, largest - (p * p).sum(axis=1)))]
-    apart = np.sqrt(np.maximum(0, (p * p).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * p @ p.T))
+    squares = (p * p).sum(axis=1)
+    asking = np.c_[p * np.sqrt(largest / np.where(squares > 0, squares, 1))[:, None], np.zeros(len(p))]  # the same vectors as queries
+    p = np.c_[p, np.sqrt(np.maximum(0, largest - squares))]
+
+    def between(x, y):
+        return np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T))
+
+    apart, across, beside = between(p, p), between(asking, p), between(asking, asking)
     near = materialize(_cells(rows, p, largest, True))
     filled = near.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d", [k / QUANTILES for k in range(QUANTILES + 1)], 200).alias("q")).collect()
     count, steps = np.zeros(len(p)), np.full((len(p), QUANTILES + 1), np.inf)
     for r in filled:
         count[r["cell"]], steps[r["cell"]] = r["n"], r["q"]
-    queries = materialize(_cells(rows.where("asked"), p, largest, False))
+    queries = materialize(_cells(rows.where("asked"), asking, largest, False))
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("n") <= k + 1).select("cell", "d").collect()
     reach = {r["cell"]: (r["far"], r["n"]) for r in queries.groupBy("cell").agg(F.max("d").alias("far"), F.count("*").alias("n")).collect()}
     slack = 1e-6 * (1 + largest**0.5)
-    low, high = np.full(apart.shape, np.inf), np.full(apart.shape, -np.inf)
+    low, high = np.full(across.shape, np.inf), np.full(across.shape, -np.inf)
     of, at = np.array([r["cell"] for r in best], dtype=int), np.array([r["d"] for r in best])
     bound = {}
     for i, (far, _) in reach.items():
-        upper = np.sort(far + apart[i][of] + at)
+        upper = np.sort(far + across[i][of] + at)
         bound[i] = upper[k] if len(upper) > k else np.inf  # one of the k + 1 may be the query itself
-        low[i], high[i] = apart[i] - far - bound[i] - slack, apart[i] + far + bound[i] + slack
+        low[i], high[i] = across[i] - far - bound[i] - slack, across[i] + far + bound[i] + slack
     for r in _gaps(queries, p, largest, apart).collect():
-        if r["other"] != r["cell"] and r["gap"] > bound[r["cell"]] + slack:
+        if r["gap"] > bound[r["cell"]] + slack:
             low[r["cell"], r["other"]], high[r["cell"], r["other"]] = np.inf, -np.inf
     # Query cells, each next to the last one's pivot, join the group whose data they share most; apart they would send more.
     def load(lows, highs):
@@ -160,7 +171,7 @@ def routed(rows: DataFrame, asked: Column, k: int, pivots: int | None, query_blo
 
     group, groups, hulls, left, last = {}, [], [], set(reach), None
     while left:
-        i = min(left, key=lambda i: (0 if last is None else apart[last][i], i))
+        i = min(left, key=lambda i: (0 if last is None else beside[last][i], i))
         own, best = load(low[i], high[i]), None
         for g, (a, b, sends) in enumerate(hulls):
             if groups[g] + reach[i][1] <= query_block:

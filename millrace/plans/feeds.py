@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import layout, markup, orchestration, pages, sheets, structured
+from ..streaming.changes import shared_folder
 from .queries import query, read
 
 
@@ -96,8 +97,9 @@ def listing_pages(spark, sf_dir) -> DataFrame:
 SELECT k, part::VARCHAR AS data_id, '/ar/pipe/p' || part AS href, 'steel pipe ' || part AS name, 'SK-' || part AS sku, coalesce(own, first_value(p) OVER (PARTITION BY k ORDER BY rn)) AS price FROM r""")
 def listing_cards(spark, sf_dir):
     """Cards of listing pages with what stands inside them, and the strict price of the nearest of four ancestors that has one."""
-    rows = markup.tokens(listing_pages(spark, sf_dir), "k")
-    tree = markup.elements(rows, "k")
+    shared_folder(spark)
+    rows = markup.tokens(listing_pages(spark, sf_dir), "k").checkpoint()  # read by each selector
+    tree = markup.elements(rows, "k").checkpoint()
     cards = tree.where(markup.selector("div", ("card",)))
     found = markup.first_inside(cards, tree, rows, "k", {"name": markup.selector("h3", ("name",)), "sku": markup.selector(classes=("sku",))})
     anchors = markup.inside(tree.where(markup.selector("a", (), {"href": None})), cards, "k")
@@ -110,8 +112,9 @@ def listing_cards(spark, sf_dir):
     len(regexp_extract_all(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?i)<a\\s[^>]*href')) AS n_links FROM pages""")
 def page_elements(spark, sf_dir):
     """The given pages as trees: elements, the first heading, links inside the body."""
-    rows = markup.tokens(read(spark, sf_dir, "pages"), "page_id")
-    tree = markup.elements(rows, "page_id")
+    shared_folder(spark)
+    rows = markup.tokens(read(spark, sf_dir, "pages"), "page_id").checkpoint()
+    tree = markup.elements(rows, "page_id").checkpoint()
     first = tree.where(markup.selector("h1")).groupBy("page_id").agg(F.min(F.struct("n", "stop")).alias("e")).select("page_id", "e.*")
     links = markup.inside(tree.where(markup.selector("a", (), {"href": None})).select("page_id", "n", "stop"), tree.where(markup.selector("body")), "page_id")
     out = tree.groupBy("page_id").agg(F.count("*").alias("n_elements")).join(markup.texts(first, rows, "page_id").select("page_id", F.nullif("text", F.lit("")).alias("heading")), "page_id", "left").join(links.groupBy("page_id").agg(F.count("*").alias("n_links")), "page_id", "left")
@@ -182,7 +185,8 @@ def order_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     letters = one.where("form = 2").select("k", F.struct(F.lit(0).alias("n"), F.lit("Dear friend, 12 kg steel pipe went by road").alias("t")).alias("b"))
     totals = one.where("form = 4").select("k", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("qty price item").alias("t")), F.struct(F.lit(1).alias("n"), F.lit("grand total 5 pcs pipe 9 9").alias("t")))).alias("b"))
     every = blocks.unionByName(lone).unionByName(letters).unionByName(totals).select("k", F.col("b.n").alias("block_no"), F.col("b.t").alias("text"))
-    return body.unionByName(heads).unionByName(banks), every
+    shared_folder(spark)
+    return body.unionByName(heads).unionByName(banks).checkpoint(), every.checkpoint()  # read by detection, regions and rows
 
 
 @query(f"SELECT DISTINCT k, q || ' pcs steel pipe P' || part || CASE WHEN k % 5 = 0 THEN ' | ' || floor(p)::BIGINT || ' | 9' ELSE ' ' || floor(p)::BIGINT || ' 9' END AS product_name, q::DOUBLE AS quantity, 'pc' AS unit, floor(p) AS price FROM {LINES} WHERE k % 5 IN (0, 1, 3)")

@@ -167,9 +167,11 @@ def category_external_id(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.external_id(F.concat_ws(" / ", "p_name", "p_brand")).alias("external_id"))
 
 
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{c}'" for k, c in strategies.CATEGORY_OF.items()) + " END AS category FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part)")
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{c}'" for k, c in strategies.CATEGORY_OF.items()) + " END AS category FROM (SELECT p_partkey, lower(p_name || ' ' || " + f"{list(strategies.CATEGORY_OF)}[1 + p_partkey % {len(strategies.CATEGORY_OF)}]" + ") AS t FROM part)")
 def product_categories(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", strategies.product_category(F.concat_ws(" ", "p_name", "p_type")).alias("category"))
+    """Categories of part names with each keyword behind them in turn."""
+    word = F.element_at(F.array(*map(F.lit, strategies.CATEGORY_OF)), (F.col("p_partkey") % len(strategies.CATEGORY_OF) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", strategies.product_category(F.concat_ws(" ", "p_name", word)).alias("category"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

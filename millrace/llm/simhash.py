@@ -190,7 +190,7 @@ def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame
 
     Shingles are in one order everywhere: those not in `common` by their hash, then those in it. Two sets of m and n
     shingles with Jaccard similarity >= s share one of the first m - ceil(s m) + 1 and n - ceil(s n) + 1. The head holds
-    32 bits of each, which may bring pairs together but lose none.
+    all 64 bits of each: of fewer, unlike texts agree by chance, and the more often the larger the table, with its square.
     """
     def read(batches):
         import numpy as np
@@ -213,11 +213,11 @@ def heads(rows: DataFrame, shingle: int, similarity: float, common) -> DataFrame
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     s = np.concatenate([s[~hit][:n], common[np.sort(by_hash[at[hit]])]])
-                first.append((s[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "d", "t", "h", "size", "f", "parity", "head"])
+                first.append(s[:n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "d", "t", "h", "size", "f", "parity", "head"])
 
     small_batches(rows.sparkSession)
-    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(giving_back(read), "doc_id long, d long, t long, h binary, size int, f long, parity array<long>, head array<int>")
+    return rows.select("doc_id", "d", "t", F.col("text").cast("binary")).mapInArrow(giving_back(read), "doc_id long, d long, t long, h binary, size int, f long, parity array<long>, head array<long>")
 
 
 def alike(shingle: int, similarity: float):
@@ -246,6 +246,45 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(doc_id.isNull(), text).alias("t"), text.alias("text"))
 
 
+def shared_heads(nodes: DataFrame) -> DataFrame:
+    """rep and head (pos, key, in order) of the nodes (rep, head): of each head the shingles that another node's head has too."""
+    entries = nodes.select("rep", F.posexplode("head").alias("pos", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return entries.join(sized(shared, 64), "key", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("head"))
+
+
+def placed_keys(nodes: DataFrame, look: int = 8) -> DataFrame:
+    """A row for each key of the heads: pos, key, left, how many keys that head has from there on, and prev, the up to `look` before."""
+    at = nodes.select("*", F.posexplode("head").alias("nth", "e"))
+    prev = F.transform(F.slice("head", F.greatest(F.col("nth") - (look - 1), F.lit(1)), F.least("nth", F.lit(look))), lambda x: x["key"])
+    return at.select(*[c for c in nodes.columns if c != "head"], "e.pos", "e.key", (F.size("head") - F.col("nth")).alias("left"), prev.alias("prev"))
+
+
+def close(longs: int, similarity: float) -> Column:
+    """The parities of a and b differ in no more bits than sets that are similar enough can."""
+    differing = reduce(operator.add, [F.bit_count(F.get("a.parity", F.lit(k)).bitwiseXOR(F.get("b.parity", F.lit(k)))) for k in range(longs)])
+    return differing <= (F.col("a.size") + F.col("b.size")) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def head_pairs(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that meet under a key, all that can be similar enough, and most of them once.
+
+    `placed` has the rows of `placed_keys` with rep, size, root, parity (8 longs) and main, the key's largest root, of which
+    no two nodes meet. What is asked of a pair holds at the first key that similar sets a and b share:
+
+    - As many shingles as they must have in common can still follow in both.
+    - So can as many shared keys of their heads. Of the at least (m + n) s / (1 + s) shingles in common, ceil(s m) - 1 at
+      most are beyond the head that ends first, m being that set's size; the others are keys of both heads.
+    - None of the keys before it is the other's too. That leaves out later keys that are near an earlier shared one.
+    """
+    a, b, size = placed.where("root <> main").alias("a"), placed.alias("b"), F.col("a.size") + F.col("b.size")
+    least, beyond = size * (similarity / (1 + similarity)) - 1e-6, F.ceil(F.greatest("a.size", "b.size") * similarity - 1e-9) - 1
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
+    follow = (F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= least) & (F.least("a.left", "b.left") >= least - beyond)
+    first = ~F.arrays_overlap("a.prev", "b.prev")
+    return a.join(b, met & follow & first & close(8, similarity)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+
+
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, block: int = 256, turns: int = 3) -> DataFrame:
     """doc_id, d and t of each row (see `identified`) and `first`: the struct (d, t, doc_id) of the first row of its group.
 
@@ -259,29 +298,21 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
        the nodes that drew the same one are dealt to lots of about eight, and each meets the first of its lot. The work is
        linear, and crowds of near copies become one group however large they are.
     3. All pairs that share a shingle of their heads. As similar sets must share one (see `heads`), no link is lost at
-       any size of the table; pairs are left out only by bounds that follow from sizes, places and parities. A shingle's
+       any size of the table; pairs are left out only by bounds that follow from sizes, places, counts of shared
+       shingles and parities, and where an earlier shared shingle has brought them (see `head_pairs`). A shingle's
        largest group isn't paired with itself.
     """
     rows = identified(docs)
-    prints = materialize(heads(rows, shingle, similarity, common_shingles(rows, shingle))).withColumn("row", F.monotonically_increasing_id())
+    prints = written(heads(rows, shingle, similarity, common_shingles(rows, shingle)).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct("d", "t", "doc_id", "row")).alias("first")
-    nodes = materialize(prints.groupBy("h").agg(first, F.first("size").alias("size"), F.first("f").alias("f"), F.first("parity").alias("parity"), F.first("head").alias("head")).select(F.col("first.row").alias("rep"), "h", "first", "size", "f", "parity", "head"))
-    bar = similarity / (1 + similarity)
-
-    def possible() -> Column:
-        """The shared shingle being the first one that a and b share, they can still reach the similarity."""
-        return F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= (F.col("a.size") + F.col("b.size")) * bar - 1e-6
-
-    def close(one: str, two: str, longs: int) -> Column:
-        """The parities of a and b differ in no more bits than sets that are similar enough can."""
-        differing = reduce(operator.add, [F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(longs)])
-        return differing <= (F.col("a.size") + F.col("b.size")) * (1 - similarity) / (1 + similarity) + 1e-6
+    sets = written(prints.groupBy("h").agg(first, F.first("size").alias("size"), F.first("f").alias("f"), F.first("parity").alias("parity")).select(F.col("first.row").alias("rep"), "h", "first", "size", "f", "parity"))
+    nodes = written(sets.join(shared_heads(prints.join(sized(sets.select("rep"), 16), F.col("row") == F.col("rep"))), "rep", "left"))
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that their parities leave possible."""
         one, two = (nodes.select("rep", "size", "parity").alias(c) for c in "ab")
         pairs = pairs.distinct().alias("p").join(one, F.col("p.a") == F.col("a.rep")).join(two, F.col("p.b") == F.col("b.rep"))
-        return pairs.where(close("a.parity", "b.parity", 16)).select("p.a", "p.b")
+        return pairs.where(close(16, similarity)).select("p.a", "p.b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that hold by their whole texts; one a with many b is dealt to tasks in blocks."""
@@ -318,7 +349,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     links = verified(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
 
     for turn in range(turns):
-        drawn = F.slice(F.array_sort(F.transform("head", lambda x: F.xxhash64(x, F.lit(turn)))), 1, 4)
+        drawn = F.slice(F.array_sort(F.transform("head", lambda x: F.xxhash64(x["key"], F.lit(turn)))), 1, 4)
         early = grouped(links).select("rep", "size", "root", F.explode(drawn).alias("key"))
         met = early.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / 8).alias("lots")).where("low < high").select("key", "lots")
         early = written(early.join(sized(met, 24), "key").withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(turn)), "lots")))
@@ -328,13 +359,12 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         links = links.unionByName(verified(promising(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))))
 
     folded = F.array(*[F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity", F.lit(k + 8))) for k in range(8)])  # half the bits, by the same rule
-    placed = grouped(links, components).select("rep", "size", "root", folded.alias("parity"), F.posexplode("head").alias("pos", "key"))
+    placed = placed_keys(grouped(links, components).select("rep", "size", "root", folded.alias("parity"), "head"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     placed = placed.join(sized(split, 16), "key", "left_semi")
     main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     placed = written(placed.join(main, "key"))
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
-    rest = placed.where("root <> main").alias("a").join(placed.alias("b"), met & possible() & close("a.parity", "b.parity", 8)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    rest = head_pairs(placed, similarity)
     links = links.unionByName(verified(promising(rest)))
 
     roots = nodes.join(components(links), F.col("rep") == F.col("node"), "left").select("h", "first", F.coalesce("root", "rep").alias("root"))

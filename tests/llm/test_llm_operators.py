@@ -594,3 +594,25 @@ def test_components(spark):
 def test_sha_of_kept_text(spark, docs):
     row = substring.remove_repeats(docs).where("doc_id = 7").select(F.sha2("text", 256)).first()
     assert row[0] == hashlib.sha256(b"one").hexdigest()
+
+
+def test_head_pairs_meet_once_and_by_more_than_a_few_shared_shingles(spark):
+    """Unlike texts that share a passage don't meet, related ones meet once or twice and not under each shared shingle; none that is alike is missed."""
+    r, passage = random.Random(8), prose(30, 81)
+    base, rows = [f"b{k}" for k in range(500)], []
+    for i in range(40):  # versions that differ in up to a tenth of their words
+        w = list(base)
+        for p in r.sample(range(500), 2 + i):
+            w[p] = f"own{i}x{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"r{r.randrange(10**9)}" for _ in range(600)) + " " + passage) for i in range(60)]
+    texts = simhash.identified(frame(spark, rows))
+    nodes = common.written(simhash.heads(texts, 5, 0.8, simhash.common_shingles(texts, 5)).select(F.col("doc_id").alias("rep"), "size", F.slice("parity", 1, 8).alias("parity"), "head"))
+    nodes = nodes.drop("head").join(simhash.shared_heads(nodes), "rep")
+    placed = simhash.placed_keys(nodes).selectExpr("*", "rep as root", "-1L as main")
+    met = [(x.a, x.b) for x in simhash.head_pairs(placed.withColumn("parity", F.array(*[F.lit(0).cast("long")] * 8)), 0.8).collect()]  # no bound by parities
+    sets = {i: shingles5(t) for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {(min(p), max(p)) for p in met}
+    assert len(alike) > 10 and alike <= found and max(max(p) for p in found) < 100
+    assert len(met) < 2 * len(found)

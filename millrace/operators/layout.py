@@ -1,14 +1,18 @@
 """Lines of tables from the places of words on pages: rows by height, a header by vote, columns by gaps.
 
-Words of a row are grouped, and of a page only its header row; nothing else of a page comes together, so that words of any
-number of pages are dealt by rows.
+Words of a row are grouped once, and a page's rows see its header by windows over the page; words that come dealt by pages
+are not dealt again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import once
+
 # Words of table headers, English and Arabic; points of a page.
 HEADER_WORDS = ["product", "description", "desc", "item", "name", "qty", "quantity", "unit", "uom", "price", "rate", "amount", "total", "sl#", "discount", "vat", "tax", "اسم", "كمية", "سعر", "الوحدة", "اجمالي"]
 ROW_HEIGHT, CELL_GAP, SLACK, TOP_SHARE, LEAST_HITS = 4, 5.0, 15.0, 0.12, 2
@@ -30,8 +34,11 @@ def line_text(words: Column) -> Column:
 
 def header_hits(words: Column) -> Column:
     """How many header words the row holds, anywhere in its text."""
-    text = F.lower(line_text(words))
-    return F.size(F.filter(F.array(*map(F.lit, HEADER_WORDS)), lambda k: F.contains(text, k)))
+    return _hits(F.lower(line_text(words)))
+
+
+def _hits(lower: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.contains(lower, F.lit(k)), 1).otherwise(0) for k in HEADER_WORDS])
 
 
 def anchors(words: Column) -> Column:
@@ -43,7 +50,7 @@ def anchors(words: Column) -> Column:
 def cells(words: Column, edges: Column) -> Column:
     """A row's words dealt to columns: each to the last edge that isn't over SLACK to its right, or to the first column; `-` where none is."""
     of = F.transform(words, lambda w: F.struct(F.greatest(F.size(F.filter(edges, lambda e: e <= w["x0"] + SLACK)) - 1, F.lit(0)).alias("column"), w["text"].alias("text")))
-    filled = F.transform(F.sequence(F.lit(0), F.size(edges) - 1), lambda k: F.array_join(F.transform(F.filter(of, lambda w: w["column"] == k), lambda w: w["text"]), " "))
+    filled = once(of, lambda dealt: F.transform(F.sequence(F.lit(0), F.size(edges) - 1), lambda k: F.array_join(F.transform(F.filter(dealt, lambda w: w["column"] == k), lambda w: w["text"]), " ")))
     return F.transform(filled, lambda c: F.when(c == "", "-").otherwise(c))
 
 
@@ -54,10 +61,10 @@ def table_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     the page, where letterheads stand. Where there is one, each line is the cells under its columns between bars, the lines
     above it included; else the words of a row with blanks between them.
     """
-    rows = word_rows(words, keys)
-    scored = rows.select(*keys, "y", "top", header_hits(F.col("words")).alias("hits"), anchors(F.col("words")).alias("edges"))
-    height = scored.groupBy(*keys).agg((F.max("top") * TOP_SHARE).alias("from_y"))
-    named = scored.where(F.col("hits") >= LEAST_HITS).join(height, keys).where("y >= from_y")
-    head = named.groupBy(*keys).agg(F.max_by("edges", F.struct("hits", -F.col("y"))).alias("edges"))
-    told = rows.select(*keys, "y", "words").join(head, keys, "left")
-    return told.select(*keys, "y", F.when(F.col("edges").isNotNull(), F.array_join(cells(F.col("words"), F.col("edges")), "|")).otherwise(line_text(F.col("words"))).alias("line"))
+    page, known = Window.partitionBy(*keys), reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = word_rows(words, keys).withColumn("text", line_text(F.col("words"))).withColumn("lower", F.lower("text"))
+    scored = rows.select(*keys, "y", "top", "words", "text", _hits(F.col("lower")).alias("hits")).withColumn("from_y", F.max("top").over(page) * TOP_SHARE)
+    named = known & (F.col("hits") >= LEAST_HITS) & (F.col("y") >= F.col("from_y"))
+    head = F.max_by(F.when(named, anchors(F.col("words"))), F.when(named, F.struct("hits", -F.col("y"))))
+    told = scored.withColumn("edges", head.over(page))
+    return told.select(*keys, "y", F.when(F.col("edges").isNotNull(), F.array_join(cells(F.col("words"), F.col("edges")), "|")).otherwise(F.col("text")).alias("line"))

@@ -79,8 +79,9 @@ def layout_lines(spark, sf_dir):
     logo = [word("Total", 50, 80, 20.0), word("quality", 100, 140, 20.0), word("item", 300, 330, 20.0)]
     head = [word("Description", 50, 110, 180.0), word("of", 112, 120, 180.0), word("Goods", 123, 150, 180.2), word("Qty", 250, 270, 180.0), word("Unit", 320, 340, 180.0), word("Price", 343, 370, 180.4), word("Total", 420, 450, 180.0)]
     other = [word("Particulars", 50, 110, 180.0), word("Count", 240, 270, 180.0)]
-    upper = r.select("k").distinct().select("k", F.explode(F.when(plain, F.array(*logo, *other)).otherwise(F.array(*logo, *head))).alias("w"))
-    return layout.table_lines(r.select("k", F.explode(body).alias("w")).unionByName(upper).select("k", "w.*"), ["k"]).select("k", F.col("y").cast("int").alias("y"), "line")
+    upper = F.when(plain, F.array(*logo, *other)).otherwise(F.array(*logo, *head))  # once a page, with its first line
+    words = r.select("k", F.explode(F.when(F.col("rn") == 1, F.concat(upper, body)).otherwise(body)).alias("w")).select("k", "w.*")
+    return layout.table_lines(words, ["k"]).select("k", F.col("y").cast("int").alias("y"), "line")
 
 
 def listing_pages(spark, sf_dir) -> DataFrame:
